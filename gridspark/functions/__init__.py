@@ -1,0 +1 @@
+"""Column functions: longitudes, projections, calendars, text forms."""

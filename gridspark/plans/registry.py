@@ -1,4 +1,31 @@
-"""All queries by name."""
+"""All queries by name, each with the same query as SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridspark.plans.views import Views, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, views: tuple[str, ...] = (), sql: str | None = None):
+    """Register a function of Views under a name; sql may use the views by name."""
+
+    def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Views(spark, sf_dir))
+
+        QUERIES[name] = run
+        if sql is not None:
+            body, head = sql.strip(), with_views(views)
+            if head and (start := re.match(r"WITH (RECURSIVE )?", body)):
+                head, body = head.rstrip().replace("WITH ", start[0], 1) + ",\n", body[start.end() :]
+            ORACLE_SQL[name] = head + body
+        return f
+
+    return add
