@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm._shared import once
+
 NONE = np.int32(2**31 - 1)
 LONG = 256  # bytes from which a word is merged with a heap instead of a matrix
 SLICE = 600_000  # words laid out at once
@@ -241,12 +243,12 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], col: str = "word", b
     def pair_ranks(p: Column) -> Column:
         return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))))).otherwise(F.array(F.lit(int(NONE))))
 
+    def join_at(p: Column, at: Column) -> Column:
+        return F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.element_at(p, at), F.element_at(p, at + 1))), F.slice(p, at + 2, F.size(p)))
+
     def merge(p: Column, _: Column) -> Column:
-        ranks_ = pair_ranks(p)
-        best = F.array_min(ranks_)
-        at = F.array_position(ranks_, best).cast("int")
-        joined = F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.element_at(p, at), F.element_at(p, F.least(at + 1, F.size(p))))), F.slice(p, at + 2, F.size(p)))
-        return F.when(best == int(NONE), p).otherwise(joined)
+        at = lambda found: F.array_position(found, F.array_min(found)).cast("int")
+        return once(pair_ranks(p), lambda found: F.when(F.array_min(found) == int(NONE), p).otherwise(once(at(found), lambda k: join_at(p, k))))
 
     folded = F.when(rank(hexed) != int(NONE), F.array(hexed)).otherwise(F.aggregate(F.sequence(F.lit(1), size), pieces, merge))
     return words.withColumn("ids", F.when(size > 0, F.transform(folded, rank)).otherwise(F.array().cast("array<int>")))

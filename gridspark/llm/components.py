@@ -13,7 +13,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(u, v) edges of long nodes -> (node, root) for every node that has an edge; root is the component's smallest node.
+    """(u, v) edges of long nodes -> (node, root) for every linked node but the roots; a root is its component's smallest node.
 
     Each round hangs a node's larger neighbours on its smallest neighbour, then the smaller ones; a round's table is
     written to the shared folder, so that a lost executor costs one round at most.  Self-loops and nulls are ignored.

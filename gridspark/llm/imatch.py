@@ -9,12 +9,11 @@ of several randomised subsets of the lexicon.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm._shared import WORD, ascii_lower
+from gridspark.llm._shared import WORD, ascii_lower, once
 
 SUBSETS = 96
 BUCKETS = 65536
@@ -61,11 +60,6 @@ def fingerprint(text: Column, lexicon: Column) -> Column:
     return once(drawn, lambda ts: F.array_join(F.transform(every, lambda j: short_hash(F.filter(ts, lambda t: t["s"] == j))), ""))
 
 
-def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value worked out once, however often ``then`` or its inner functions use it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def short_hash(ts: Column) -> Column:
     """The last HEX hexadecimal digits of a list's hash."""
     return F.substring(F.lower(F.lpad(F.hex(F.xxhash64(ts)), 16, "0")), 17 - HEX, HEX)
