@@ -23,7 +23,8 @@ from gridspark.llm._shared import once
 
 NONE = np.int32(2**31 - 1)
 LONG = 256  # bytes from which a word is merged with a heap instead of a matrix
-SLICE = 600_000  # words laid out at once
+SLICE = 250_000  # words laid out at once
+DECODED = 256  # documents that are decoded and handed on together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -187,7 +188,7 @@ def _encode_batches(shared):
 def _decode_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(shared)
-        for batch in batches:
+        for batch in (b.slice(i, DECODED) for b in batches for i in range(0, b.num_rows, DECODED)):
             done = [merger.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)) for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_rest"), batch.column("_ids"), pa.array(done, pa.binary())], names=["_id", "_rest", "_ids", "_bytes"])
 

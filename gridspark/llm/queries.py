@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import bpe, imatch, langid, line_dedup, mixing, quality, sharding, simhash, substring_dedup, topk_search
-from gridspark.llm._shared import held_out, table
+from gridspark.llm._shared import held_out, short_batches
+from gridspark.llm._shared import table as read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
+    return read_table(spark, sf_dir, name)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
