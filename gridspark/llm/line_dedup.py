@@ -175,6 +175,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(own.dtypes)
     suspects = materialize(own.select("_id", "_text").mapInArrow(_suspects(shared, min_chars), f"key binary, doc {kind['_id']}"), "suspects")
     repeats = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keep")).filter(F.col("n") >= min_docs)
+    repeats = materialize(repeats, "repeats")  # a table of its own, so that the join below can split a hot key
     drops = suspects.join(repeats, "key").filter(~F.col("doc").eqNullSafe(F.col("keep"))).groupBy("doc").agg(F.collect_set("key").alias("_drop"))
     joined = own.join(drops.hint("shuffle_hash"), own["_id"].eqNullSafe(drops["doc"]), "left").select("_id", "_text", "_rest", "_drop")
     schema = f"_id {kind['_id']}, _text string, _rest {kind['_rest']}, _lines bigint, _dropped bigint"
