@@ -81,15 +81,17 @@ def settle(cells: DataFrame, most: float, rounds: int = 4) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", starts: int = 64) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", starts: int = 64, row_col: str | None = None) -> DataFrame:
     """(doc_id, size, source, source_size, target, rate, copies, taken): one row per row of docs.
 
     size is the number of words; taken = copies * size; no document is taken more than ``most`` times.  The rounding's
     start is the one of ``starts`` that brings the source's words nearest to its target.  Null and empty texts have
     size 0 and take no words; a null source is a source, the last.  Rows that repeat an id are rows of their own, and
-    reruns agree: ties are ordered by id.  An empty table gives an empty table.
+    reruns agree: ties are ordered by id.  ``row_col`` names a column that tells rows apart; it is returned too, and orders
+    rows that repeat an id.  An empty table gives an empty table.
     """
-    base = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_count(F.col(f"`{text_col}`")).alias("size"), F.col(f"`{source_col}`").alias("source")), "words")
+    row = [F.col(f"`{row_col}`")] if row_col else []
+    base = materialize(docs.select(*row, F.col(f"`{id_col}`").alias("doc_id"), word_count(F.col(f"`{text_col}`")).alias("size"), F.col(f"`{source_col}`").alias("source")), "words")
     cells = materialize(base.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     goals = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     rates = newton(goals, cells, most)
@@ -102,9 +104,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     chosen = sums.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("off"), "start"))["start"].alias("start")).select(F.col("source").alias("_s"), "start")
     cells = cells.join(chosen, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     cells = materialize(settle(cells, most), "copies").select(F.col("source").alias("_s"), F.col("size").alias("_z"), "first", "source_size", "target", "rate", "start", "change")
-    ranked = number_within(base, ["source", "size"], [F.col("doc_id")], F.xxhash64("doc_id"), 64, "tie")
+    ranked = number_within(base, ["source", "size"], [F.col("doc_id"), *row], F.xxhash64("doc_id"), 64, "tie")
     joined = ranked.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     rank = F.col("first") + F.col("tie")
     change = F.when(F.col("tie") == 0, F.col("change")).otherwise(0)
     copies = (_bounded(_copies(rank, rank + 1, F.col("rate"), F.col("start")), most) + change).cast("long")
-    return joined.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)

@@ -1,0 +1,180 @@
+"""Near copies by the Jaccard similarity of word shingles, exactly, by prefix filtering.
+
+A document is the set of its shingles' hashes in ascending order.  Two sets of similarity s or more share an element
+among the first n - ceil(s * n) + 1 of each, their heads, so only these meet.  What two heads share bounds the overlap:
+the head that ends first holds all that is shared up to there.  Pairs within the bound are counted out on whole sets.
+Equal sets are one node.  Holders of an element meet two of its holders first, in a few rounds; holders that are in one
+component after that are not held against each other again, and all other pairs are tried.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gridspark.llm._shared import materialize
+from gridspark.llm.components import connected_components
+
+EPS = 1e-9
+
+
+def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, none if it has no words."""
+    words = (text or b"").lower().split()
+    n = min(size, len(words))
+    if not n:
+        return np.empty(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends - [len(w) + 1 for w in words]).tolist()
+    stops = (ends - 1).tolist()
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts[: len(words) - n + 1], stops[n - 1 :], strict=True)], np.uint64).view(np.int64))
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes())
+
+
+def _prefixes(size: int, alike: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            heads = [s[: _head_size(len(s), alike)].tobytes() for s in sets]
+            nodes = np.array([_node(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.binary())], names=["doc_id", "digest", "node", "n", "head"])
+
+    return run
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = [np.frombuffer(h, np.int64) for h in batch.column(2).to_pylist()]
+        sizes = [len(h) for h in heads]
+        of = pa.array(np.repeat(np.arange(len(heads)), sizes), pa.int64())
+        ends = pa.array(np.repeat(np.array([h[-1] for h in heads], np.int64), sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)), batch.column(0).take(of), batch.column(1).take(of), ends], names=["token", "node", "n", "last"])
+
+
+def _bodies(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "body"])
+
+    return run
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _head_size(n: int, alike: float) -> int:
+    return n - ceil(alike * n - EPS) + 1
+
+
+def _within_bound(alike: float):
+    """Pairs (u, v, n, m, heads a and b) that can be alike by what their heads share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                a, b = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)
+                rest = n - len(a) if a[-1] <= b[-1] else m - len(b)
+                keep.append(_shared(a, b) + rest >= (n + m) * (alike / (1 + alike)) - EPS)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    return run
+
+
+def _verify(alike: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)
+                same = _shared(a, b)
+                keep.append(same >= alike * (len(a) + len(b) - same) - EPS)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    return run
+
+
+def _lengths_fit(a: str, b: str, alike: float) -> Column:
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return F.least(n, m) >= F.greatest(n, m) * alike - EPS
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = 0.8, rounds: int = 2) -> DataFrame:
+    """(component, doc_id, digest): one row per component, naming its row with the smallest id (nulls last), then digest.
+
+    Rows are alike if the Jaccard similarity of their sets of shingles is at least ``alike``; a component is all that
+    such pairs reach.  A row is told apart by its id and the MD5 of its text, so rows with a null id and rows that
+    repeat an id are rows of their own.  Texts without words are alike.  An empty table gives an empty table.
+    """
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_digest(F.col(f"`{text_col}`")).alias("digest"), F.col(f"`{text_col}`").alias("text"))
+    sets = materialize(own.mapInArrow(_prefixes(shingle, alike), "doc_id bigint, digest binary, node bigint, n int, head binary"), "sets")
+    nodes = materialize(sets.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first"), F.first("n").alias("n"), F.min("head").alias("head")), "nodes")
+    tokens = nodes.filter("n > 0").select("node", "n", "head").mapInArrow(_explode, "token bigint, node bigint, n int, last bigint")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("token")
+    held = materialize(tokens.join(shared, "token"), "held")
+
+    def alike_pairs(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        firsts = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+        found = own.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("node", "text")
+        bodies = materialize(found.mapInArrow(_bodies(shingle), "node bigint, body binary").dropDuplicates(["node"]), "bodies")
+        side = lambda node, body: bodies.select(F.col("node").alias(node), F.col("body").alias(body))
+        both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+        return materialize(both.mapInArrow(_verify(alike), "u bigint, v bigint"), "alike")
+
+    def parts(links: DataFrame | None) -> DataFrame:
+        """Holders of the elements that more than one component holds."""
+        if links is None:
+            return held.withColumn("part", F.col("node"))
+        roots = materialize(connected_components(links), "roots")
+        named = held.join(roots, "node", "left").select("token", "node", "n", "last", F.coalesce("root", "node").alias("part"))
+        mixed = named.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
+        return materialize(named.join(mixed, "token"), "open")
+
+    node_of = lambda f, a, b: f(F.col(f"{a}.node"), F.col(f"{b}.node"))
+    links, tried = None, None
+    for turn in range(rounds):
+        open_ = parts(links)
+        holder = F.struct(F.xxhash64(F.lit(turn), "node").alias("turn"), "node", "n", "part")
+        ends = open_.groupBy("token").agg(F.min(holder).alias("p"), F.max(holder).alias("q"))
+        met = open_.select("token", F.struct("node", "n", "part").alias("h")).join(ends, "token")
+        new = [met.filter((F.col("h.part") != F.col(f"{e}.part")) & _lengths_fit("h", e, alike)).select(node_of(F.least, "h", e).alias("u"), node_of(F.greatest, "h", e).alias("v")) for e in ("p", "q")]
+        new = reduce(DataFrame.unionByName, new).distinct()
+        new = materialize(new.join(tried, ["u", "v"], "left_anti") if tried is not None else new, "tried")
+        tried = new if tried is None else tried.unionByName(new)
+        head = lambda node, n, body: nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("head").alias(body))
+        near = new.join(head("u", "n", "a"), "u").join(head("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
+        found = alike_pairs(materialize(near.mapInArrow(_within_bound(alike), "u bigint, v bigint"), "near"))
+        links = found if links is None else links.unionByName(found)
+    open_ = parts(links)
+    a, b = open_.alias("a"), open_.alias("b")
+    apart = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & _lengths_fit("a", "b", alike))
+    size = lambda n: F.ceil(n * alike - EPS) - 1  # noqa: E731  what a head leaves out
+    rest = F.when(F.col("a.last") <= F.col("b.last"), size(F.col("a.n"))).otherwise(size(F.col("b.n")))
+    counted = apart.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("c"), F.min(rest).alias("rest"), F.min(F.col("a.n") + F.col("b.n")).alias("both"))
+    more = counted.filter(F.col("c") + F.col("rest") >= F.col("both") * (alike / (1 + alike)) - EPS).select("u", "v")
+    more = materialize(more.join(tried, ["u", "v"], "left_anti"), "apart")
+    roots = connected_components(links.unionByName(alike_pairs(more)))
+    whole = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("first").alias("first"))
+    return whole.select("component", "first.doc_id", "first.digest")
