@@ -2,8 +2,9 @@
 
 Terms are lower-cased words.  The lexicon keeps those within a band of inverse document frequency; a term must stand in
 a fixed share of all documents, so that the lexicon's size is bounded by the distinct terms of a mean document over that
-share, however large the corpus.  A fingerprint sorts a document's distinct lexicon terms and hashes them once for each
-of several randomised subsets of the lexicon.
+share, however large the corpus.  A fingerprint sorts a document's distinct lexicon terms and hashes, with 64 bits, those
+of each of several random sub-lexicons.  Sub-lexicons overlap: every term is in DRAWS of them.  They are small, so that
+some of them outlive an edit; two texts are as alike as the share of sub-lexicons on whose terms they agree.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from gridspark.llm._shared import WORD, ascii_lower, once
 
 SUBSETS = 96
+DRAWS = 2
 BUCKETS = 65536
-HEX = 4  # hexadecimal digits of a subset's hash
 
 
 def terms(text: Column) -> Column:
@@ -27,13 +28,13 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least: float = 0.001, most: float = 0.01) -> list[int]:
-    """Hashes of the terms that stand in a share of the documents from ``least`` (and two of them) to ``most``.
+    """Hashes of the terms that stand in a share of the documents from ``least`` to ``most``.
 
     That is the band of idf from log(1 / most) to log(1 / least).  Counted over all rows.
     """
     n = docs.count()
     own = docs.select(F.explode(terms(F.col(f"`{text_col}`"))).alias("t"))
-    band = own.groupBy("t").agg(F.count("*").alias("n")).filter((F.col("n") >= max(2.0, least * n)) & (F.col("n") <= max(2.0, most * n)))
+    band = own.groupBy("t").agg(F.count("*").alias("n")).filter((F.col("n") >= least * n) & (F.col("n") <= most * n))
     return [r.t for r in band.select("t").collect()]
 
 
@@ -45,34 +46,45 @@ def lexicon_literal(known: list[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(f"[{','.join(c)}]" for c in cells) + "]"), "array<array<bigint>>")
 
 
+def drawn(t: Column) -> list[Column]:
+    """The sub-lexicons that a term is in: the same for every document, as they follow from the term alone."""
+    return [F.pmod(F.xxhash64(t, F.lit(k)), F.lit(SUBSETS)).cast("int") for k in range(DRAWS)]
+
+
 def fingerprint(text: Column, lexicon: Column) -> Column:
-    """SUBSETS hashes of HEX digits.
+    """array<long>: the hash of each sub-lexicon's terms in the text, 0 where it has none.
 
-    The lexicon is cut at random into SUBSETS subsets, small ones so that some of them outlive an edit.  A text without lexicon terms is hashed by all
-    its distinct terms, so equal texts have equal fingerprints, and texts without terms share one.
+    A text without lexicon terms is hashed by all its distinct terms, so equal texts have equal fingerprints, and texts
+    without terms share one.
     """
     bucket = lambda t: F.element_at(lexicon, (F.pmod(t, F.lit(BUCKETS)) + 1).cast("int"))
     kept = lambda found: once(F.filter(found, lambda t: F.array_contains(bucket(t), t)), lambda k: F.when(F.size(k) > 0, k).otherwise(found))
-    used = once(terms(text), lambda found: F.array_sort(kept(found)))
-    # each term draws its subset by hashing, so that a subset of the lexicon is the same for every document
-    drawn = F.transform(used, lambda t: F.struct(t.alias("t"), F.pmod(F.xxhash64(t), F.lit(SUBSETS)).cast("int").alias("s")))
+    used = once(terms(text), kept)
+    # all (sub-lexicon, term) pairs in one sorted list; a term drawn twice into a sub-lexicon stands there once
+    pairs = F.array_sort(F.array_distinct(F.flatten(F.transform(used, lambda t: F.array(*[F.struct(s.alias("s"), t.alias("t")) for s in drawn(t)])))))
+    # the list is folded once: a chain of hashes for each sub-lexicon, closed where the next one begins
+    state = F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("h"), F.array().cast("array<struct<s:int,h:bigint>>").alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        h = F.xxhash64(F.when(a["s"] == x["s"], a["h"]).otherwise(F.lit(0).cast("long")), x["t"])
+        done = F.when(a["s"] == x["s"], a["done"]).otherwise(F.array_append(a["done"], F.struct(a["s"].alias("s"), a["h"].alias("h"))))
+        return F.struct(x["s"].alias("s"), h.alias("h"), done.alias("done"))
+
+    hashes = F.aggregate(pairs, state, step, lambda a: F.map_from_entries(F.array_append(a["done"], F.struct(a["s"].alias("s"), a["h"].alias("h")))))
     every = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    return once(drawn, lambda ts: F.array_join(F.transform(every, lambda j: short_hash(F.filter(ts, lambda t: t["s"] == j))), ""))
+    return once(hashes, lambda m: F.transform(every, lambda j: F.coalesce(F.try_element_at(m, j), F.lit(0).cast("long"))))
 
 
-def short_hash(ts: Column) -> Column:
-    """The last HEX hexadecimal digits of a list's hash."""
-    return F.substring(F.lower(F.lpad(F.hex(F.xxhash64(ts)), 16, "0")), 17 - HEX, HEX)
+def hex_fingerprint(hashes: Column) -> Column:
+    return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets on which two fingerprints agree, of those where either has terms; 1 for equal fingerprints."""
-    at = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    empty = short_hash(F.array().cast("array<struct<t:bigint,s:int>>"))
-    part = lambda c, j: F.substring(c, j * HEX + 1, F.lit(HEX))
-    used = F.size(F.filter(at, lambda j: (part(a, j) != empty) | (part(b, j) != empty)))
-    same = F.size(F.filter(at, lambda j: (part(a, j) == part(b, j)) & (part(a, j) != empty)))
-    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(same.cast("double"), used.cast("double")), F.lit(0.0)))
+    """Share of the sub-lexicons on which two fingerprints agree, of those where either has terms; 1 for equal fingerprints."""
+    both = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    used = F.filter(both, lambda p: (p["x"] != 0) | (p["y"] != 0))
+    share = once(used, lambda u: F.try_divide(F.size(F.filter(u, lambda p: p["x"] == p["y"])).cast("double"), F.size(u).cast("double")))
+    return F.when(a == b, 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> tuple[DataFrame, Window]:
@@ -121,4 +133,5 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     done = done.select("doc_id", "bucket", "own", "turn", "text", "n_chars", "edited", fingerprint(F.col("text"), known).alias("fingerprint"), fingerprint(F.col("edited"), known).alias("edited_fingerprint"))
     done = done.withColumn("next", F.lead("fingerprint").over(order))
     fp = F.col("fingerprint")
-    return done.filter("own").select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness(fp, F.col("edited_fingerprint")).alias("near_edited"), likeness(fp, F.coalesce("next", "fingerprint")).alias("near_next"))
+    near = likeness(fp, F.col("edited_fingerprint")).alias("near_edited"), likeness(fp, F.coalesce("next", "fingerprint")).alias("near_next")
+    return done.filter("own").select("doc_id", "n_chars", "edited", hex_fingerprint(fp).alias("fingerprint"), hex_fingerprint(F.col("edited_fingerprint")).alias("edited_fingerprint"), *near)

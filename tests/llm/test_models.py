@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridspark.llm import imatch, langid, quality
 from gridspark.llm._shared import held_out
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF = "/root/testdata/sf0.01"
 
 
@@ -81,12 +84,50 @@ def test_imatch(docs, corpus):
     for i, j in zip(ids, ids[1:] + ids[:1], strict=True):
         t, half, r = texts[i], len(texts[i]) // 2, rows[i]
         assert (r.n_chars, r.edited) == (len(t), t[: len(t) - half] + texts[j][:half])
-        assert len(r.fingerprint) == len(r.edited_fingerprint) == imatch.SUBSETS * imatch.HEX
+        assert len(r.fingerprint) == len(r.edited_fingerprint) == imatch.SUBSETS * 16
         assert seen.setdefault(t, r.fingerprint) == r.fingerprint
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.near_next == 1) or r.fingerprint != rows[j].fingerprint
 
 
+def brute_imatch(texts):
+    """Fingerprints (lists of 64-bit hashes) of texts whose lexicon is that of ``corpus``, as a function."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    h64 = lambda raw, seed=42: signed(xxhash.xxh64_intdigest(raw, seed % 2**64))
+    word = lambda t: {h64(w) for w in t.translate(LOWER).encode().split()}
+    df = Counter(w for t in texts for w in word(t))
+    known = {w for w, n in df.items() if 0.001 * len(texts) <= n <= 0.01 * len(texts)}
+
+    def fingerprint(t):
+        used, out = (word(t) & known) or word(t), [0] * imatch.SUBSETS
+        for j in range(imatch.SUBSETS):
+            for w in sorted(used):
+                if any(h64(k.to_bytes(4, "little"), h64(w.to_bytes(8, "little", signed=True))) % imatch.SUBSETS == j for k in range(imatch.DRAWS)):
+                    out[j] = h64(w.to_bytes(8, "little", signed=True), h64(out[j].to_bytes(8, "little", signed=True)))
+        return out
+
+    return fingerprint
+
+
+def test_imatch_against_brute_force(docs, corpus):
+    texts = {i: t or "" for i, t, *_ in corpus}
+    model = brute_imatch(list(texts.values()))
+    rows = {r.doc_id: r for r in imatch.fingerprint_edits(docs, ranges=5).collect()}
+    ids, text = sorted(texts), lambda h: "".join(f"{x % 2**64:016x}" for x in h)
+    for i, j in zip(ids, ids[1:] + ids[:1], strict=True):
+        a, b, c = model(texts[i]), model(rows[i].edited), model(texts[j])
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (text(a), text(b))
+        for near, other in ((rows[i].near_edited, b), (rows[i].near_next, c)):
+            used = [(x, y) for x, y in zip(a, other, strict=True) if x or y]
+            assert near == pytest.approx(1.0 if a == other else sum(x == y for x, y in used) / max(1, len(used)))
+
+
+def test_imatch_long_text(spark):
+    rows = [(1, " ".join(f"w{k % 5000}" for k in range(60_000))), (2, "x " * 100_000)]
+    got = {r.doc_id: r for r in imatch.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), ranges=2).collect()}
+    assert got[1].n_chars == len(rows[0][1]) and got[1].near_next < 0.1
+
+
 def test_imatch_likeness_follows_edits(spark):
     rng = random.Random(5)
     vocabulary = [f"t{k}" for k in range(900)]
