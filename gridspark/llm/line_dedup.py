@@ -2,9 +2,10 @@
 
 Pass 1 folds every line hash into a pair of bit arrays per task; the pairs are cut into segments, shuffled
 compressed and merged (a bit set in two "once" arrays goes into "twice").  Only the merged "twice" filter is sent
-out; its size is the parameter ``filter_bits``, whatever the input.  Pass 2 probes it: lines that can't be repeats
-stay where they are, and the suspects alone are shuffled, as 16-byte digests, for the exact count and the choice of
-the document that keeps the line.  A full filter only makes more suspects, never a wrong result.
+out; its size follows the number of lines up to a fixed most.  Pass 2 probes it: documents without a suspected line
+go straight to the result, and suspects are shuffled as 16-byte digests for the exact count and the choice of the
+document that keeps the line.  Only documents with a suspect meet the lines they lose.  A full filter makes more
+suspects, never a wrong result.
 """
 
 from __future__ import annotations
@@ -124,18 +125,47 @@ def twice_filter(texts: DataFrame, bits: int, least: int) -> bytes:
     return zstandard.compress(out.tobytes(), 1)
 
 
+def _found(bitmap: np.ndarray, texts: list[bytes | None], least: int) -> tuple[list[bytes], np.ndarray]:
+    """(keys, the row of each) of a batch that the filter holds."""
+    keys, rows = [], []
+    for i, text in enumerate(texts):
+        own = document_keys(text, least)
+        keys += own
+        rows += [i] * len(own)
+    maybe = np.flatnonzero(_holds(bitmap, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64))) if keys else np.empty(0, np.int64)
+    return [keys[i] for i in maybe], np.array(rows, np.int64)[maybe]
+
+
+def digest(key: bytes) -> bytes:
+    return blake2b(key, digest_size=16).digest()
+
+
 def _suspects(shared, least: int):
+    """(key, doc, row): the suspects of every document; row tells documents apart that share an id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(zstandard.decompress(shared.value), np.uint8)
         for batch in batches:
-            ids, keys, rows = batch.column(0), [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                own = document_keys(text, least)
-                keys += own
-                rows += [i] * len(own)
+            keys, rows = _found(bitmap, batch.column("_text").cast(pa.binary()).to_pylist(), least)
             if keys:
-                maybe = np.flatnonzero(_holds(bitmap, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array([blake2b(keys[i], digest_size=16).digest() for i in maybe], pa.binary()), ids.take(pa.array(np.array(rows)[maybe], pa.int64()))], names=["key", "doc"])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(map(digest, keys), pa.binary()), batch.column("_id").take(at), batch.column("_row").take(at)], names=["key", "doc", "row"])
+
+    return run
+
+
+def _part(shared, least: int, suspected: bool):
+    """The documents with a suspect, or those without, which lose nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(zstandard.decompress(shared.value), np.uint8)
+        for batch in batches:
+            texts = batch.column("_text").cast(pa.binary()).to_pylist()
+            has = np.zeros(len(texts), bool)
+            has[_found(bitmap, texts, least)[1]] = True
+            chosen = batch.filter(pa.array(has if suspected else ~has))
+            if chosen.num_rows:
+                yield chosen
 
     return run
 
@@ -146,7 +176,7 @@ def _rewrite(least: int):
         if not drop:
             return text or b"", len(lines), 0
         gone = set(drop)
-        stay = [x for x in lines if not (long_enough(k := line_key(x), least) and blake2b(k, digest_size=16).digest() in gone)]
+        stay = [x for x in lines if not (long_enough(k := line_key(x), least) and digest(k) in gone)]
         return b"\n".join(stay), len(lines), len(lines) - len(stay)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,26 +188,37 @@ def _rewrite(least: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int = 2**28) -> DataFrame:
+def filter_size(docs: DataFrame, text_col: str, most: int) -> int:
+    """Bits of a filter: 16 for each line of the corpus, as a power of two, ``most`` at most."""
+    lines = docs.agg(F.sum(F.octet_length(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "[^\n]+", "")) + 1)).first()[0]
+    return min(most, max(2**16, 1 << (16 * int(lines or 0)).bit_length()))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int | None = None, most_bits: int = 2**29) -> DataFrame:
     """docs with repeated lines taken out of the text, and n_lines (before) and n_dropped.
 
     A line's key is the line stripped of ASCII white space and A-Z lower-cased.  A key of at least ``min_chars`` code
     points that stands in at least ``min_docs`` documents (2 or more) loses all its lines but those of the largest id.
-    ``filter_bits``: bits of each Bloom filter, a power of two; 2**28 (32 MiB) serves about 100 million distinct lines
-    before most lines become suspects.
+    ``filter_bits``: bits of each Bloom filter, a power of two; by default 16 for each line, up to ``most_bits`` (64 MiB,
+    full at some 100 million distinct lines; beyond that more and more lines become suspects and are shuffled).
 
     A null text is one empty line and comes out empty.  Each row is a document: rows that repeat an id count
     separately, and all rows of the largest id keep the line.  A null id is smaller than any other.  An empty table
     gives an empty table.  Other columns pass through, whatever their names (n_lines and n_dropped are replaced).
     """
     own = pack(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(own.select("_text"), filter_bits, min_chars))
+    bits = filter_bits or filter_size(docs, text_col, most_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(own.select("_text"), bits, min_chars))
     kind = dict(own.dtypes)
-    suspects = materialize(own.select("_id", "_text").mapInArrow(_suspects(shared, min_chars), f"key binary, doc {kind['_id']}"), "suspects")
+    row = F.xxhash64("_id", "_text")  # rows with one id and one text lose the same lines, so they may share this
+    schema = f"_id {kind['_id']}, _text string, _rest {kind['_rest']}"
+    suspects = materialize(own.select("_id", "_text", row.alias("_row")).mapInArrow(_suspects(shared, min_chars), f"key binary, doc {kind['_id']}, row bigint"), "suspects")
     repeats = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keep")).filter(F.col("n") >= min_docs)
     repeats = materialize(repeats, "repeats")  # a table of its own, so that the join below can split a hot key
-    drops = suspects.join(repeats, "key").filter(~F.col("doc").eqNullSafe(F.col("keep"))).groupBy("doc").agg(F.collect_set("key").alias("_drop"))
-    joined = own.join(drops.hint("shuffle_hash"), own["_id"].eqNullSafe(drops["doc"]), "left").select("_id", "_text", "_rest", "_drop")
-    schema = f"_id {kind['_id']}, _text string, _rest {kind['_rest']}, _lines bigint, _dropped bigint"
+    drops = suspects.join(repeats, "key").filter(~F.col("doc").eqNullSafe(F.col("keep"))).groupBy("doc", "row").agg(F.collect_set("key").alias("_drop"))
+    clean = own.mapInArrow(_part(shared, min_chars, False), schema).withColumn("_drop", F.lit(None).cast("array<binary>"))
+    marked = own.mapInArrow(_part(shared, min_chars, True), schema).withColumn("_row", row)
+    joined = marked.join(drops.hint("shuffle_hash"), marked["_id"].eqNullSafe(drops["doc"]) & (marked["_row"] == drops["row"]), "left").select("_id", "_text", "_rest", "_drop")
+    rewritten = clean.unionByName(joined).mapInArrow(_rewrite(min_chars), f"{schema}, _lines bigint, _dropped bigint")
     base = docs.drop("n_lines", "n_dropped")
-    return unpack(joined.mapInArrow(_rewrite(min_chars), schema), base, id_col, text_col, F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+    return unpack(rewritten, base, id_col, text_col, F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
