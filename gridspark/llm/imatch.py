@@ -18,6 +18,7 @@ from gridspark.llm._shared import WORD, ascii_lower, once
 
 SUBSETS = 96
 DRAWS = 2
+GROUP = 16  # sub-lexicons that are told apart together, a power of two
 BUCKETS = 65536
 
 
@@ -59,20 +60,13 @@ def fingerprint(text: Column, lexicon: Column) -> Column:
     """
     bucket = lambda t: F.element_at(lexicon, (F.pmod(t, F.lit(BUCKETS)) + 1).cast("int"))
     kept = lambda found: once(F.filter(found, lambda t: F.array_contains(bucket(t), t)), lambda k: F.when(F.size(k) > 0, k).otherwise(found))
-    used = once(terms(text), kept)
-    # all (sub-lexicon, term) pairs in one sorted list; a term drawn twice into a sub-lexicon stands there once
-    pairs = F.array_sort(F.array_distinct(F.flatten(F.transform(used, lambda t: F.array(*[F.struct(s.alias("s"), t.alias("t")) for s in drawn(t)])))))
-    # the list is folded once: a chain of hashes for each sub-lexicon, closed where the next one begins
-    state = F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("h"), F.array().cast("array<struct<s:int,h:bigint>>").alias("done"))
-
-    def step(a: Column, x: Column) -> Column:
-        h = F.xxhash64(F.when(a["s"] == x["s"], a["h"]).otherwise(F.lit(0).cast("long")), x["t"])
-        done = F.when(a["s"] == x["s"], a["done"]).otherwise(F.array_append(a["done"], F.struct(a["s"].alias("s"), a["h"].alias("h"))))
-        return F.struct(x["s"].alias("s"), h.alias("h"), done.alias("done"))
-
-    hashes = F.aggregate(pairs, state, step, lambda a: F.map_from_entries(F.array_append(a["done"], F.struct(a["s"].alias("s"), a["h"].alias("h")))))
-    every = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    return once(hashes, lambda m: F.transform(every, lambda j: F.coalesce(F.try_element_at(m, j), F.lit(0).cast("long"))))
+    used = F.sort_array(once(terms(text), kept))
+    # (sub-lexicon, term) pairs in order of the terms; dealt to groups of sub-lexicons first, so that every filter is short
+    pairs = F.flatten(F.transform(used, lambda t: F.array(*[F.struct(s.alias("s"), t.alias("t")) for s in drawn(t)])))
+    hashed = lambda found: F.when(F.size(found) > 0, F.xxhash64(found)).otherwise(F.lit(0).cast("long"))
+    one = lambda ps, j: once(F.filter(ps, lambda p: p["s"] == j), hashed)
+    group = lambda ps, g: once(F.filter(ps, lambda p: F.shiftright(p["s"], GROUP.bit_length() - 1) == g), lambda own: F.transform(F.sequence(g * GROUP, g * GROUP + GROUP - 1), lambda j: one(own, j)))
+    return once(pairs, lambda ps: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS // GROUP - 1)), lambda g: group(ps, g))))
 
 
 def hex_fingerprint(hashes: Column) -> Column:

@@ -100,10 +100,13 @@ def brute_imatch(texts):
 
     def fingerprint(t):
         used, out = (word(t) & known) or word(t), [0] * imatch.SUBSETS
+        raw = lambda x, size: x.to_bytes(size, "little", signed=True)
+        drawn = [(w, h64(raw(k, 4), h64(raw(w, 8))) % imatch.SUBSETS) for w in sorted(used) for k in range(imatch.DRAWS)]
         for j in range(imatch.SUBSETS):
-            for w in sorted(used):
-                if any(h64(k.to_bytes(4, "little"), h64(w.to_bytes(8, "little", signed=True))) % imatch.SUBSETS == j for k in range(imatch.DRAWS)):
-                    out[j] = h64(w.to_bytes(8, "little", signed=True), h64(out[j].to_bytes(8, "little", signed=True)))
+            seed = 42
+            for w in [w for w, s in drawn if s == j]:
+                seed = h64(raw(w, 8), h64(raw(j, 4), seed))
+            out[j] = seed if seed != 42 else 0
         return out
 
     return fingerprint
