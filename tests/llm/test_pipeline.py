@@ -16,7 +16,7 @@ from gridspark.llm._shared import materialize
 from gridspark.llm.queries import quality_model
 
 from .test_line_dedup import brute
-from .test_simhash import brute_fingerprint, roots
+from .test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,8 +52,7 @@ def test_line_stage(stages):
 
 def test_near_duplicate_stage(stages):
     before, after = stages[2]
-    kept = set(roots({r.doc_id: brute_fingerprint(r.text) for r in before}, 2).values())
-    assert sorted(r.doc_id for r in after) == sorted(kept)
+    assert [(False, r.doc_id) for r in sorted(after, key=lambda r: r.doc_id)] == brute_kept([(r.doc_id, r.text) for r in before])
 
 
 def test_mixing_stage(spark, stages):
