@@ -6,11 +6,11 @@ share their days, counted from the Gregorian 1970-01-01, and follow from day num
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridspark.functions.columns import let
+
 #: Days of the months.
 FIXED = {
     "360_day": (30, 30, 30, 30, 30, 30, 30, 30, 30, 30, 30, 30),
@@ -55,11 +55,6 @@ def _floor_div(a: Column, b: Column | int) -> Column:
     return F.floor(a / b)
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value worked out once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _starts(months: tuple[int, ...]) -> list[int]:
     return [sum(months[:k]) for k in range(13)]
 
@@ -87,8 +82,8 @@ def days_of(calendar: Column, year: Column, month: Column, day: Column) -> Colum
     # years begin in March, so that the leap day is a year's last
     in_year = _floor_div(153 * F.pmod(month + 9, F.lit(12)) + 2, 5) + day - 1
     march = year - F.when(month <= 2, 1).otherwise(0)
-    julian = _let(march, lambda y: 365 * y + _floor_div(y, 4) + in_year - 719470)
-    gregorian = _let(march, lambda y: 365 * y + _floor_div(y, 4) - _floor_div(y, 100) + _floor_div(y, 400) + in_year - 719468)
+    julian = let(march, lambda y: 365 * y + _floor_div(y, 4) + in_year - 719470)
+    gregorian = let(march, lambda y: 365 * y + _floor_div(y, 4) - _floor_div(y, 100) + _floor_div(y, 400) + in_year - 719468)
     return F.when(ok, _by_calendar(calendar, fixed | {"julian": julian, "gregorian": gregorian}).cast("long"))
 
 
@@ -107,9 +102,9 @@ def _fixed_date(days: Column, months: tuple[int, ...]) -> Column:
 
     def place(of_year: Column) -> Column:
         month = F.size(F.filter(F.array(*map(F.lit, starts[:12])), lambda s: s <= of_year))
-        return _let(month, lambda m: _date(_floor_div(days, size) + 1970, m, of_year - F.element_at(F.array(*map(F.lit, starts)), m) + 1))
+        return let(month, lambda m: _date(_floor_div(days, size) + 1970, m, of_year - F.element_at(F.array(*map(F.lit, starts)), m) + 1))
 
-    return _let(F.pmod(days, F.lit(size)), place)
+    return let(F.pmod(days, F.lit(size)), place)
 
 
 def _march_date(year: Column, of_year: Column) -> Column:
@@ -118,23 +113,23 @@ def _march_date(year: Column, of_year: Column) -> Column:
         late = march >= 10
         return _date(year + F.when(late, 1).otherwise(0), march + F.when(late, -9).otherwise(3), of_year - _floor_div(153 * march + 2, 5) + 1)
 
-    return _let(_floor_div(5 * of_year + 2, 153), place)
+    return let(_floor_div(5 * of_year + 2, 153), place)
 
 
 def _julian_date(days: Column) -> Column:
     z = days + 719470
-    return _let(_floor_div(4 * z + 3, 1461), lambda y: _let(z - _floor_div(1461 * y, 4), lambda d: _march_date(y, d)))
+    return let(_floor_div(4 * z + 3, 1461), lambda y: let(z - _floor_div(1461 * y, 4), lambda d: _march_date(y, d)))
 
 
 def _gregorian_date(days: Column) -> Column:
     def in_era(era: Column) -> Column:
         def in_year(of_era: Column) -> Column:
             y = _floor_div(of_era - _floor_div(of_era, 1460) + _floor_div(of_era, 36524) - _floor_div(of_era, 146096), 365)
-            return _let(y, lambda n: _let(of_era - (365 * n + _floor_div(n, 4) - _floor_div(n, 100)), lambda d: _march_date(n + era * 400, d)))
+            return let(y, lambda n: let(of_era - (365 * n + _floor_div(n, 4) - _floor_div(n, 100)), lambda d: _march_date(n + era * 400, d)))
 
-        return _let(days + 719468 - era * 146097, in_year)
+        return let(days + 719468 - era * 146097, in_year)
 
-    return _let(_floor_div(days + 719468, 146097), in_era)
+    return let(_floor_div(days + 719468, 146097), in_era)
 
 
 def calendar_date(days: Column, calendar: Column) -> Column:
@@ -149,8 +144,8 @@ def calendar_fields(instant: Column, calendar: Column) -> Column:
         clock = {"hour": _floor_div(rest, 3_600_000), "minute": _floor_div(rest, 60_000) % 60, "second": _floor_div(rest, 1000) % 60, "ms": rest % 1000}
         return F.struct(*[date[k].alias(k) for k in ("year", "month", "day")], *[c.cast("int").alias(k) for k, c in clock.items()])
 
-    date = lambda rest: _let(calendar_date(_floor_div(instant, DAY), calendar), lambda d: fields(d, rest))
-    return _let(F.pmod(instant, F.lit(DAY).cast("long")), date)
+    date = lambda rest: let(calendar_date(_floor_div(instant, DAY), calendar), lambda d: fields(d, rest))
+    return let(F.pmod(instant, F.lit(DAY).cast("long")), date)
 
 
 def julian_fields(instant: Column) -> Column:
@@ -169,7 +164,7 @@ def calendar_add_months(instant: Column, months: Column, calendar: Column) -> Co
         starts = F.array(*[F.lit(sum(lengths) * y + s) for y in (-1, 0, 1) for s in _starts(lengths)[:12]])
         start = lambda k: F.element_at(starts, (k + 12).cast("int"))
         day = _floor_div(instant, DAY)
-        return _let(_fixed_date(day, lengths)["month"], lambda at: instant + (years * sum(lengths) + start(at + left) - start(at)) * DAY)
+        return let(_fixed_date(day, lengths)["month"], lambda at: instant + (years * sum(lengths) + start(at + left) - start(at)) * DAY)
 
     return _by_calendar(calendar, {name: moved(lengths) for name, lengths in FIXED.items()}).cast("long")
 

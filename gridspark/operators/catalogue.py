@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.calendars import calendar_name, format_iso
+from gridspark.functions.columns import let
 from gridspark.operators import coords, elevation, stats, timeaxis
 
 #: The states in which a dataset's layers are shown.
@@ -111,10 +112,11 @@ def parse_request_params(requests: DataFrame, url: str = "url") -> DataFrame:
     pairs = F.filter(F.split(query, "&"), lambda p: p.contains("="))
     clean = lambda c: F.trim(F.try_url_decode(c))
     entries = F.transform(pairs, lambda p: F.struct(F.lower(clean(F.substring_index(p, "=", 1))).alias("k"), clean(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
-    found = F.filter(entries, lambda e: e["k"].isNotNull())
-    keys = F.array_distinct(F.transform(found, lambda e: e["k"]))
-    first = F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(found, lambda e: e["k"] == k), 1)["v"].alias("v")))
-    return requests.withColumn("params", F.map_from_entries(first))
+    named = F.filter(entries, lambda e: e["k"].isNotNull())
+    # the decoded list is worked out once, not for every name
+    first = lambda found, k: F.struct(k.alias("k"), F.element_at(F.filter(found, lambda e: e["k"] == k), 1)["v"].alias("v"))
+    params = let(named, lambda found: F.map_from_entries(F.transform(F.array_distinct(F.transform(found, lambda e: e["k"])), lambda k: first(found, k))))
+    return requests.withColumn("params", params)
 
 
 def parse_map_requests(requests: DataFrame) -> DataFrame:
