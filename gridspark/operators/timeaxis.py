@@ -110,16 +110,25 @@ def timesteps_on_day(steps: DataFrame, days: DataFrame) -> DataFrame:
     return days.join(steps.withColumn("day", F.to_date("t")), ["layer_id", "day"]).select("request_id", "layer_id", "day", "t", format_time_only(F.col("t")).alias("time"))
 
 
-#: Label, months and days of the animations' periods.
+#: Label, months and days of the animations' periods.
 PERIODS = {"Daily": (0, 1), "Weekly": (0, 7), "Monthly": (1, 0), "Bi-monthly": (2, 0), "Twice-yearly": (6, 0), "Yearly": (12, 0)}
 
 
+def _later(ms: int, months: int, days: int) -> int:
+    """An instant so many months and days later, in any year; a day that its month hasn't got becomes the last."""
+    at = np.datetime64(ms, "ms")
+    month, day = at.astype("datetime64[M]"), at.astype("datetime64[D]")
+    to = month + months
+    first, last = to.astype("datetime64[D]"), (to + 1).astype("datetime64[D]") - 1
+    moved = min(first + (day - month.astype("datetime64[D]")), last) + days
+    return ms + int((moved - day).astype("timedelta64[ms]").astype(np.int64))
+
+
 def _thin(times: np.ndarray, months: int, days: int) -> list[int]:
     """Places that stay: the first, then always the next that isn't before the last kept plus the period."""
     kept, at = [0], 0
     while True:
-        due = pd.Timestamp(times[at]) + pd.DateOffset(months=months, days=days)
-        at = int(np.searchsorted(times, due.to_datetime64()))
+        at = int(np.searchsorted(times, _later(int(times[at]), months, days)))
         if at >= len(times):
             return kept
         kept.append(at)
@@ -128,19 +137,21 @@ def _thin(times: np.ndarray, months: int, days: int) -> list[int]:
 def animation_timesteps(steps: DataFrame) -> DataFrame:
     """(layer_id, label, frames, times): thinned time lists of steps (layer_id, t); those of one frame are dropped.
 
-    steps holds the steps between the animation's start and end.  The choice of a step depends on the last one kept,
-    so a layer's axis is thinned by one task; an axis is one row per instant, far smaller than the cells.
+    steps holds the steps between the animation's start and end, in any year that Spark has.  The choice of a step
+    depends on the last one kept, so a layer's axis is thinned by one task; an axis is one row per instant, far smaller
+    than the cells.
     """
     def thin(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(frame["t"].to_numpy().astype("datetime64[ns]"))
+        times = np.sort(frame["ms"].to_numpy().astype(np.int64))
         rows = []
         for label, (months, days) in PERIODS.items():
             kept = times[_thin(times, months, days)]
             if len(kept) > 1:
-                rows.append((key[0], label, len(kept), ",".join(np.datetime_as_string(kept, unit="ms") + "Z")))
+                rows.append((key[0], label, len(kept), ",".join(np.datetime_as_string(kept.astype("datetime64[ms]")) + "Z")))
         return pd.DataFrame(rows, columns=["layer_id", "label", "frames", "times"])
 
-    thinned = steps.select("layer_id", F.col("t").cast("timestamp_ntz").alias("t")).distinct().groupBy("layer_id").applyInPandas(thin, "layer_id string, label string, frames int, times string")
+    instants = steps.select("layer_id", F.unix_millis(F.col("t").cast("timestamp")).alias("ms")).distinct()
+    thinned = instants.groupBy("layer_id").applyInPandas(thin, "layer_id string, label string, frames int, times string")
     whole = steps.groupBy("layer_id").agg(F.lit("Full").alias("label"), F.count_distinct("t").cast("int").alias("frames"), F.concat(format_iso(F.min("t")), F.lit("/"), format_iso(F.max("t"))).alias("times"))
     return whole.unionByName(thinned)
 
