@@ -105,15 +105,22 @@ def scale_ticks(ranges: DataFrame, log: bool = False) -> DataFrame:
     return ranges.withColumns({f"tick{k}": at(k / 4) for k in range(5)} | {"third1": at(1 / 3), "third2": at(2 / 3)})
 
 
-def render_frames(frames: DataFrame, height: int, n: int = MOST_COLOURS, value_range: tuple[float, float] | None = None, log: bool = False, animation: list[str] | None = None) -> DataFrame:
+def render_frames(frames: DataFrame, height: int, n: int = MOST_COLOURS, value_range: tuple[float, float] | DataFrame | None = None, log: bool = False, animation: list[str] | None = None) -> DataFrame:
     """frames (row, value, ...) with py (from the top), vmin, vmax and idx.
 
-    The range is the given one, or the common one of the frames of an animation.  Frames with components east and north
+    The range is the given one, the layers' default ranges (layer_id, vmin, vmax; a layer without one, or one that isn't
+    listed, has the default of an empty range), or the common one of the frames of an animation.  Frames with components east and north
     are classified by their magnitude.
     """
     if "east" in frames.columns:
         frames = vectors.magnitude(frames)
-    ranged = frames.withColumns({"vmin": F.lit(value_range[0]), "vmax": F.lit(value_range[1])}) if value_range else stats.auto_scale(frames, animation or ["grid_id"])
+    if isinstance(value_range, DataFrame):
+        joined = frames.join(value_range.select("layer_id", "vmin", "vmax"), "layer_id", "left")
+        ranged = joined.withColumns({"vmin": F.when(F.col("vmin").isNull(), -50.0).otherwise(F.col("vmin")), "vmax": F.when(F.col("vmax").isNull(), 50.0).otherwise(F.col("vmax"))})
+    elif value_range:
+        ranged = frames.withColumns({"vmin": F.lit(value_range[0]), "vmax": F.lit(value_range[1])})
+    else:
+        ranged = stats.auto_scale(frames, animation or ["grid_id"])
     return ranged.withColumns({"py": F.lit(height - 1) - F.col("row"), "idx": colour_index(F.col("value"), F.col("vmin"), F.col("vmax"), n, log)})
 
 

@@ -127,11 +127,16 @@ def grid_coordinates(index: Column, low: list[int], high: list[int]) -> list[Col
 def order_grid_coordinates(df: DataFrame, col: str) -> DataFrame:
     """df with rank: fewer dimensions first, then by each coordinate; equal coordinates share a rank.
 
-    Ranks are counted over the distinct coordinates, which are few beside the rows.
+    Ranks are counted over the distinct coordinates: within a number of dimensions and a first coordinate, and shifted by
+    all that come before, so that only the table of first coordinates is ordered as a whole.
     """
-    distinct = df.select(col).distinct()
-    ranked = distinct.withColumn("rank", F.row_number().over(Window.orderBy(F.size(col), col)))
-    return df.join(ranked, col)
+    distinct = df.select(col).distinct().withColumns({"_size": F.size(col), "_first": F.try_element_at(F.col(col), F.lit(1))})
+    group = ["_size", "_first"]
+    ranked = distinct.withColumn("_own", F.row_number().over(Window.partitionBy(*group).orderBy(col)))
+    before = F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1))
+    shift = distinct.groupBy(*group).agg(F.count("*").alias("_n")).select(F.col("_size").alias("_s"), F.col("_first").alias("_f"), F.coalesce(before, F.lit(0)).alias("_before"))
+    found = ranked.join(shift, (F.col("_size") == F.col("_s")) & F.col("_first").eqNullSafe(F.col("_f")))
+    return df.join(found.select(col, (F.col("_before") + F.col("_own")).cast("int").alias("rank")), col)
 
 
 def parse_bbox(df: DataFrame, text: str = "bbox", lon_first: Column | None = None) -> DataFrame:

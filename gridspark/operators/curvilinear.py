@@ -99,17 +99,22 @@ def _tile(c: Column, size: Column | float) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def curv_containing(points: DataFrame, polygons: DataFrame, tile: float = 2.0) -> DataFrame:
+def curv_containing(points: DataFrame, polygons: DataFrame, cells_per_tile: float = 2.0) -> DataFrame:
     """points (point_id, grid_id, lon, lat) with i and j of the cell that contains them, null if none does.
 
     A point on a shared edge belongs to one cell (half-open crossings); of several cells the lowest j, then i.  Both
-    sides are dealt to tiles; tile columns wrap at the date line.
+    sides are dealt to tiles of ``cells_per_tile`` mean cells of their grid a side, so that a point meets a few cells
+    whatever the resolution; tile columns wrap at the date line.
     """
-    around = round(360 / tile)
+    # a whole number of tiles around the globe, so that they wrap
+    side = F.greatest(F.avg(F.col("max_x") - F.col("min_x")), F.avg(F.col("max_y") - F.col("min_y"))) * cells_per_tile
+    grids = polygons.filter("min_x is not null").groupBy("grid_id").agg(F.greatest(F.lit(1), F.least(F.lit(36_000), F.floor(F.coalesce(F.try_divide(F.lit(360.0), side), F.lit(180.0))))).alias("around"))
+    grids = grids.withColumn("tile", F.lit(360.0) / F.col("around"))
+    around, tile = F.col("around"), F.col("tile")
     run = lambda a, b: F.sequence(_tile(F.col(a), tile), _tile(F.col(b), tile))
-    dealt = polygons.filter("min_x is not null").withColumn("tx", F.explode(run("min_x", "max_x"))).withColumn("ty", F.explode(run("min_y", "max_y"))).withColumn("tx", F.pmod("tx", F.lit(around)))
+    dealt = polygons.filter("min_x is not null").join(grids, "grid_id").withColumn("tx", F.explode(run("min_x", "max_x"))).withColumn("ty", F.explode(run("min_y", "max_y"))).withColumn("tx", F.pmod("tx", around)).drop("around", "tile")
     dealt = dealt.withColumnsRenamed({"lon": "centre", "lat": "centre_lat"})
-    own = points.withColumns({"tx": F.pmod(_tile(constrain_longitude_180(F.col("lon")), tile), F.lit(around)), "ty": _tile(F.col("lat"), tile)})
+    own = points.join(grids, "grid_id").withColumns({"tx": F.pmod(_tile(constrain_longitude_180(F.col("lon")), tile), around), "ty": _tile(F.col("lat"), tile)}).drop("around", "tile")
     x, y = harmonise(F.col("centre"), F.col("lon")), F.col("lat")
     crossings = F.lit(0)
     for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)):

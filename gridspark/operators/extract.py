@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import geo
-from gridspark.operators import coords
+from gridspark.operators import coords, vectors
 
 CELL = ["layer_id", "t", "z_index", "j", "i"]
 
@@ -140,8 +140,12 @@ def optimal_transect(control: DataFrame, axes: DataFrame, grid_id: str, step: in
     return tried.join(chosen, ["line_id", "n"])
 
 
-def transect(cells: DataFrame, axes: DataFrame, points: DataFrame) -> DataFrame:
-    """points (line_id, k, grid_id, x, y, layer_id, t, z_index) with value."""
+def transect(cells: DataFrame, axes: DataFrame, points: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """points (line_id, k, grid_id, x, y, layer_id, t, z_index) with value.
+
+    pairs: (layer_id, east_id, north_id) of vector layers, whose value is the magnitude.
+    """
+    cells = cells if pairs is None else vectors.with_vectors(cells, pairs)
     return read_single_points(cells, axes, points)
 
 
@@ -165,11 +169,13 @@ def resample_section(section: DataFrame, n: int = 300) -> DataFrame:
     return near.join(section.select("line_id", "z_index", "k", "value"), ["line_id", "z_index"]).select("line_id", "h", "height", "k", "value")
 
 
-def feature_info(cells: DataFrame, steps: DataFrame, axes: DataFrame, clicks: DataFrame) -> DataFrame:
+def feature_info(cells: DataFrame, steps: DataFrame, axes: DataFrame, clicks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(request_id, lon, lat, i, j, cell_x, cell_y, series): clicks on images with the cell and its (t, value) series.
 
-    clicks: (request_id, layer_id, z_index, grid_id, px, py, min_x, min_y, max_x, max_y, width, height).
+    clicks: (request_id, layer_id, z_index, grid_id, px, py, min_x, min_y, max_x, max_y, width, height); pairs: (layer_id,
+    east_id, north_id) of vector layers, whose series is the magnitude.  steps has a layer's times, a vector layer's too.
     """
+    cells = cells if pairs is None else vectors.with_vectors(cells, pairs)
     placed = coords.pixel_to_position(clicks).filter("error is null")
     found = point_map(axes, placed).select("request_id", F.col("x").alias("lon"), F.col("y").alias("lat"), "i", "j", "grid_id")
     centre = lambda axis, k: axes.filter(F.col("axis") == axis).select("grid_id", F.col("first").alias("_f" + k), F.col("spacing").alias("_s" + k))

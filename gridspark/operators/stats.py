@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.operators import extract
+from gridspark.operators import extract, vectors
 
 DIMENSIONS = ("client_hostname", "client_user_agent", "client_referrer")
 
@@ -15,19 +15,25 @@ def find_min_max(df: DataFrame, keys: list[str], value: str = "value") -> DataFr
     return df.groupBy(*keys).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
 
 
-def min_max_for_view(cells: DataFrame, axes: DataFrame, requests: DataFrame) -> DataFrame:
-    """(grid_id, vmin, vmax) over the pixels of map requests, one box, layer, time and elevation each."""
+def min_max_for_view(cells: DataFrame, axes: DataFrame, requests: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(grid_id, vmin, vmax) over the pixels of map requests, one box, layer, time and elevation each.
+
+    pairs: (layer_id, east_id, north_id) of vector layers, whose range is that of the magnitude.
+    """
+    cells = cells if pairs is None else vectors.with_vectors(cells, pairs)
     pixels = extract.pixel_map(axes, requests).drop("source_id")
     read = extract.read_horizontal(cells, pixels.join(requests.select("grid_id", "layer_id", "t", "z_index"), "grid_id"))
     found = find_min_max(read, ["grid_id"])
     return requests.select("grid_id").join(found, "grid_id", "left")
 
 
-def estimate_value_range(cells: DataFrame, axes: DataFrame, layers: DataFrame, size: int = 100) -> DataFrame:
+def estimate_value_range(cells: DataFrame, axes: DataFrame, layers: DataFrame, size: int = 100, pairs: DataFrame | None = None) -> DataFrame:
     """(layer_id, vmin, vmax) of a size x size sample of each layer's box at its default time and elevation, in one job.
 
-    layers: (layer_id, source_id, t, z_index, min_x, min_y, max_x, max_y).
+    layers: (layer_id, source_id, t, z_index, min_x, min_y, max_x, max_y); pairs: (layer_id, east_id, north_id) of vector
+    layers, whose range is that of the magnitude of both components.
     """
+    cells = cells if pairs is None else vectors.with_vectors(cells, pairs)
     boxes = layers.withColumns({"grid_id": F.col("layer_id"), "width": F.lit(size), "height": F.lit(size)})
     hit = extract.pixel_map(axes, boxes).select(F.col("grid_id").alias("layer_id"), "i", "j").distinct()
     read = extract.read_horizontal(cells, hit.join(layers.select("layer_id", "t", "z_index"), "layer_id"))
@@ -43,8 +49,15 @@ def default_colour_range(df: DataFrame) -> DataFrame:
         "vmax": F.when(low.isNull(), 50.0).when(low == high, high + 1).otherwise(high + span * 0.05)})
 
 
-def auto_scale(frames: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """frames with the common range of all frames of an animation."""
+def auto_scale(frames: DataFrame, keys: list[str], value: str = "value", component: str | None = None) -> DataFrame:
+    """frames with the common range of all frames of an animation.
+
+    component, for frames with east and north: "x" is the range of the eastward component alone, "magnitude" that of the
+    length.
+    """
+    if component:
+        wanted = {"x": F.col("east"), "magnitude": F.sqrt(F.col("east") * F.col("east") + F.col("north") * F.col("north"))}[component]
+        return auto_scale(frames.withColumn("_scaled", wanted), keys, "_scaled").drop("_scaled")
     found = find_min_max(frames, keys, value).withColumnsRenamed({k: "_" + k for k in keys})
     same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]
     return frames.join(found, same).drop(*["_" + k for k in keys])
@@ -55,13 +68,15 @@ def section_range(section: DataFrame) -> DataFrame:
 
 
 def layer_report(cells: DataFrame, layers: DataFrame, axes: DataFrame, size: int = 256) -> DataFrame:
-    """(layer_id, times, elevations, vmin, vmax): the axes' sizes and the range of a sample at the first time and elevation.
+    """(layer_id, title, units, min_x, min_y, max_x, max_y, times, elevations, vmin, vmax): a row per layer with cells.
 
-    layers: (layer_id, source_id, min_x, min_y, max_x, max_y).
+    The axes' sizes and the range of a sample at the first time and elevation.  layers: (layer_id, title, units,
+    source_id, min_x, min_y, max_x, max_y).
     """
     found = cells.groupBy("layer_id").agg(F.count_distinct("t").alias("times"), F.count_distinct("z_index").alias("elevations"), F.min("t").alias("t"), F.min("z_index").alias("z_index"))
     sample = estimate_value_range(cells, axes, layers.join(found.select("layer_id", "t", "z_index"), "layer_id"), size)
-    return found.select("layer_id", "times", "elevations").join(sample, "layer_id")
+    named = layers.select("layer_id", "title", "units", "min_x", "min_y", "max_x", "max_y")
+    return named.join(found.select("layer_id", "times", "elevations"), "layer_id").join(sample, "layer_id")
 
 
 def _is_map() -> Column:

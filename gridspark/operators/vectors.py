@@ -27,6 +27,19 @@ def components(cells: DataFrame, east: str, north: str) -> DataFrame:
     return both.agg(F.max(F.when(F.col("layer_id") == east, F.col("value"))).alias("east"), F.max(F.when(F.col("layer_id") == north, F.col("value"))).alias("north"))
 
 
+def with_vectors(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cells and, for every vector layer of pairs (layer_id, east_id, north_id), its magnitude as cells of its own.
+
+    So every operator on scalar layers takes vector layers too: the nearest cell of a position is the same for both
+    components.  Either component missing makes the magnitude null.  One pass over the components' cells.
+    """
+    sides = pairs.select(F.col("layer_id").alias("_vector"), F.explode(F.array(F.struct(F.col("east_id").alias("id"), F.lit(True).alias("east")), F.struct(F.col("north_id").alias("id"), F.lit(False).alias("east")))).alias("_side"))
+    dealt = cells.join(sides, F.col("layer_id") == F.col("_side.id")).groupBy("_vector", "t", "z_index", "j", "i")
+    both = dealt.agg(F.max(F.when(F.col("_side.east"), F.col("value"))).alias("east"), F.max(F.when(~F.col("_side.east"), F.col("value"))).alias("north"))
+    own = magnitude(both).select(F.col("_vector").alias("layer_id"), "t", "z_index", "j", "i", "value")
+    return cells.select(own.columns).unionByName(own)
+
+
 def magnitude(df: DataFrame, east: str = "east", north: str = "north") -> DataFrame:
     """df with value = sqrt(east^2 + north^2), null if either is null."""
     return df.withColumn("value", F.sqrt(F.col(east) * F.col(east) + F.col(north) * F.col(north)))

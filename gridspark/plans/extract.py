@@ -107,15 +107,15 @@ def ext9(v):
     return out.select("line_id", "n", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("ext10_optimal_transect", ("lines",), path_sql("[10, 20, 30, 40, 50, 60]") + f""",
+@query("ext10_optimal_transect", ("lines",), path_sql("range(10, 201, 10)") + f""",
 mp AS (SELECT line_id, n, {WORLD_I.replace('x +', 'round(x, 9) +')} AS i, {WORLD_J.replace('y', 'round(y, 9)')} AS j FROM path),
 ct AS (SELECT line_id, n, count(DISTINCT CASE WHEN i IS NOT NULL AND j IS NOT NULL THEN i * 1000 + j END) + max(CASE WHEN i IS NULL OR j IS NULL THEN 1 ELSE 0 END) AS cells FROM mp GROUP BY 1, 2),
 bf AS (SELECT *, lag(cells) OVER (PARTITION BY line_id ORDER BY n) AS before FROM ct),
-ch AS (SELECT line_id, coalesce(min(CASE WHEN cells <= before * 1.1::DOUBLE THEN n END) - 10, 60) AS n FROM bf GROUP BY line_id)
+ch AS (SELECT line_id, coalesce(min(CASE WHEN cells <= before * 1.1::DOUBLE THEN n END) - 10, 200) AS n FROM bf GROUP BY line_id)
 SELECT ch.line_id, CAST(ch.n AS INT) AS n, ct.cells FROM ch JOIN ct ON ct.line_id = ch.line_id AND ct.n = ch.n""")
 def ext10(v):
     control = coords.parse_linestring(v.lines)
-    chosen = extract.optimal_transect(control, v.world_axes, WORLD, step=10, most=60)
+    chosen = extract.optimal_transect(control, v.world_axes, WORLD, step=10, most=200)
     rounded = chosen.withColumns({"grid_id": F.lit(WORLD), "x": F.round("x", 9), "y": F.round("y", 9)})
     return extract.distinct_cells_sampled(extract.point_map(v.world_axes, rounded), ("line_id", "n"))
 
@@ -137,6 +137,22 @@ def ext11(v):
     return extract.transect(v.cells, v.world_axes, transect_points(v).withColumn("z_index", F.lit(2))).select("line_id", "k", "value")
 
 
+SPEED = """cm AS (SELECT t, z_index, j, i, max(CASE WHEN layer_id = 'A' THEN value END) AS east, max(CASE WHEN layer_id = 'N' THEN value END) AS north FROM cells WHERE layer_id IN ('A', 'N') GROUP BY 1, 2, 3, 4),
+vc AS (SELECT layer_id, t, z_index, j, i, value FROM cells UNION ALL SELECT 'speed', t, z_index, j, i, sqrt(east * east + north * north) FROM cm)"""
+
+
+def speed(v: Views):
+    """The one vector layer of the queries."""
+    return v.table("region").filter("r_regionkey = 0").select(F.lit("speed").alias("layer_id"), F.lit("A").alias("east_id"), F.lit("N").alias("north_id"))
+
+
+@query("ext11_transect_vector", ("cells", "lines"), TRANSECT + f""", {SPEED}
+SELECT mp.line_id, mp.k, round(c.value, 6) AS value FROM mp CROSS JOIN one LEFT JOIN vc c ON c.layer_id = 'speed' AND c.t = one.t AND c.z_index = 2 AND c.j = mp.j AND c.i = mp.i""")
+def ext11b(v):
+    points = transect_points(v).withColumns({"z_index": F.lit(2), "layer_id": F.lit("speed")})
+    return extract.transect(v.cells, v.world_axes, points, speed(v)).select("line_id", "k", F.round("value", 6).alias("value"))
+
+
 SECTION = TRANSECT + """,
 sc AS (SELECT mp.line_id, mp.k, z.z_index, z.z, c.value FROM mp CROSS JOIN one JOIN z_axis z ON z.layer_id = 'N' LEFT JOIN cells c ON c.layer_id = 'N' AND c.t = one.t AND c.z_index = z.z_index AND c.j = mp.j AND c.i = mp.i),
 section AS (SELECT * FROM sc QUALIFY count(value) OVER (PARTITION BY line_id, z_index) > 0)"""
@@ -175,6 +191,20 @@ def ext14(v):
     return out.select("request_id", "lon", "lat", "i", "j", "cell_x", "cell_y", F.size(values).cast("long").alias("n"), F.size("series").cast("long").alias("steps"), F.round(F.when(F.size(values) > 0, total), 2).alias("total"))
 
 
+@query("ext14_feature_info_vector", ("cells", "bboxes"), f"""
+WITH {SPEED}, k AS (SELECT event_id AS request_id, concat('b', CAST(event_id % 25 AS STRING)) AS grid_id, CAST(user_id % 8 AS INT) AS px, CAST(event_id % 4 AS INT) AS py, CAST(event_id % 7 AS INT) AS z_index FROM events WHERE event_type = 'click'),
+pl AS (SELECT k.request_id, k.z_index, min_x + (px + 0.5::DOUBLE) * ((max_x - min_x) / width) AS x, min_y + (height - py - 1 + 0.5::DOUBLE) * ((max_y - min_y) / height) AS y FROM k JOIN bboxes b ON b.grid_id = k.grid_id),
+rq AS (SELECT *, {WORLD_I} AS i, {WORLD_J} AS j FROM pl), ts AS (SELECT DISTINCT t FROM vc WHERE layer_id = 'speed')
+SELECT rq.request_id, ts.t, round(c.value, 6) AS value FROM rq CROSS JOIN ts LEFT JOIN vc c ON c.layer_id = 'speed' AND c.t = ts.t AND c.z_index = rq.z_index AND c.j = rq.j AND c.i = rq.i""")
+def ext14b(v):
+    e = v.table("events").filter("event_type = 'click'")
+    clicks = e.select(F.col("event_id").alias("request_id"), F.concat(F.lit("b"), (F.col("event_id") % 25).cast("string")).alias("box"), (F.col("user_id") % 8).cast("int").alias("px"), (F.col("event_id") % 4).cast("int").alias("py"), F.lit("speed").alias("layer_id"), (F.col("event_id") % 7).cast("int").alias("z_index"))
+    clicks = clicks.join(v.bboxes.withColumnRenamed("grid_id", "box"), "box").withColumn("grid_id", F.lit(WORLD))
+    steps = v.cells.filter("layer_id in ('A', 'N')").select(F.lit("speed").alias("layer_id"), "t").distinct()
+    out = extract.feature_info(v.cells, steps, v.world_axes, clicks, speed(v))
+    return out.select("request_id", F.explode("series").alias("s")).select("request_id", "s.t", F.round("s.value", 6).alias("value"))
+
+
 @query("ext15_map_frames", ("cells", "bboxes"), f"""WITH {PIXELS}, fr AS {FRAME}
 SELECT pm.grid_id, fr.t, pm.pixel, c.value, CASE WHEN (SELECT count(*) FROM fr) > 1 THEN strftime(fr.t, '%Y-%m-%d') END AS label
 FROM pm CROSS JOIN fr LEFT JOIN cells c ON c.layer_id = 'A' AND c.t = fr.t AND c.z_index = 1 AND c.j = pm.j AND c.i = pm.i""")

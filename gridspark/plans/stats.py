@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.operators import colour, elevation, extract, stats, vectors
-from gridspark.plans.extract import COMPONENTS, PIXELS, SECTION, WORLD, boxes, frames, path_sql, transect_points
+from gridspark.plans.extract import COMPONENTS, PIXELS, SECTION, SPEED, WORLD, boxes, frames, path_sql, speed, transect_points
 from gridspark.plans.coords import WORLD_I, WORLD_J
 from gridspark.operators import coords
 from gridspark.plans.registry import query
@@ -30,6 +30,14 @@ def agg2(v):
     return stats.min_max_for_view(v.cells, v.world_axes, views_with_layer(v))
 
 
+@query("agg2_min_max_for_view_vector", ("cells", "bboxes"), f"""WITH {PIXELS}, {SPEED}, first AS (SELECT min(t) AS t FROM cells)
+SELECT pm.grid_id, round(min(c.value), 6) AS vmin, round(max(c.value), 6) AS vmax FROM pm CROSS JOIN first f LEFT JOIN vc c ON c.layer_id = 'speed' AND c.t = f.t AND c.z_index = 0 AND c.j = pm.j AND c.i = pm.i GROUP BY 1""")
+def agg2b(v):
+    first = v.cells.agg(F.min("t").alias("t")).select("t", F.lit(0).alias("z_index"), F.lit("speed").alias("layer_id"))
+    found = stats.min_max_for_view(v.cells, v.world_axes, boxes(v).join(F.broadcast(first)), speed(v))  # one row
+    return found.select("grid_id", F.round("vmin", 6).alias("vmin"), F.round("vmax", 6).alias("vmax"))
+
+
 def world_layers(v):
     first = v.cells.groupBy("layer_id").agg(F.min("t").alias("t"), F.min("z_index").alias("z_index"))
     return first.select("*", F.lit(WORLD).alias("source_id"), F.lit(-180.0).alias("min_x"), F.lit(-90.0).alias("min_y"), F.lit(180.0).alias("max_x"), F.lit(90.0).alias("max_y"))
@@ -43,6 +51,18 @@ def agg3(v):
     return stats.estimate_value_range(v.cells, v.world_axes, world_layers(v))
 
 
+@query("agg3_estimate_value_range_vector", ("cells",), f"""
+WITH {SPEED}, first AS (SELECT layer_id, min(t) AS t, min(z_index) AS z_index FROM cells GROUP BY 1 UNION ALL SELECT 'speed', min(t), min(z_index) FROM cells WHERE layer_id IN ('A', 'N'))
+SELECT f.layer_id, round(min(c.value), 6) AS vmin, round(max(c.value), 6) AS vmax FROM first f LEFT JOIN vc c ON c.layer_id = f.layer_id AND c.t = f.t AND c.z_index = f.z_index GROUP BY 1""")
+def agg3b(v):
+    """Scalar layers and the vector layer in one job; the range of a vector is that of both components' magnitude."""
+    first = v.cells.filter("layer_id in ('A', 'N')").agg(F.min("t").alias("t"), F.min("z_index").alias("z_index")).withColumn("layer_id", F.lit("speed"))
+    layers = world_layers(v)
+    more = first.select("layer_id", "t", "z_index", *[F.lit(x).alias(c) for c, x in (("source_id", WORLD), ("min_x", -180.0), ("min_y", -90.0), ("max_x", 180.0), ("max_y", 90.0))])
+    found = stats.estimate_value_range(v.cells, v.world_axes, layers.unionByName(more), pairs=speed(v))
+    return found.select("layer_id", F.round("vmin", 6).alias("vmin"), F.round("vmax", 6).alias("vmax"))
+
+
 RANGES = """rg AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS vmin, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN CAST(p_size AS DOUBLE) ELSE CAST(p_size + p_partkey % 64 AS DOUBLE) END AS vmax FROM part)"""
 
 
@@ -68,6 +88,16 @@ def agg5(v):
     return stats.auto_scale(extract.map_frames(v.cells, v.world_axes, boxes(v), frames(v)), ["grid_id"]).select("grid_id", "t", "pixel", "value", "vmin", "vmax")
 
 
+@query("agg5_auto_scale_vector", ("cells",), f"""WITH {COMPONENTS}
+SELECT t, z_index, j, i, min(east) OVER w AS x_min, max(east) OVER w AS x_max, round(min(sqrt(east * east + north * north)) OVER w, 6) AS vmin, round(max(sqrt(east * east + north * north)) OVER w, 6) AS vmax FROM cm WINDOW w AS (PARTITION BY z_index)""")
+def agg5b(v):
+    """The range by the eastward component alone, and by the magnitude, of an animation for each elevation."""
+    both = vectors.components(v.cells, "A", "N")
+    x = stats.auto_scale(both, ["z_index"], component="x").withColumnsRenamed({"vmin": "x_min", "vmax": "x_max"})
+    out = stats.auto_scale(x, ["z_index"], component="magnitude")
+    return out.select("t", "z_index", "j", "i", "x_min", "x_max", F.round("vmin", 6).alias("vmin"), F.round("vmax", 6).alias("vmax"))
+
+
 @query("agg6_section_range", ("cells", "lines", "z_axis"), SECTION + "SELECT line_id, min(value) AS vmin, max(value) AS vmax FROM section GROUP BY line_id")
 def agg6(v):
     return stats.section_range(extract.vertical_section(v.cells, v.z_axis, v.world_axes, transect_points(v)))
@@ -75,9 +105,11 @@ def agg6(v):
 
 @query("agg7_layer_report", ("cells",), """
 WITH n AS (SELECT layer_id, count(DISTINCT t) AS times, count(DISTINCT z_index) AS elevations, min(t) AS t, min(z_index) AS z_index FROM cells GROUP BY 1)
-SELECT n.layer_id, n.times, n.elevations, min(c.value) AS vmin, max(c.value) AS vmax FROM n LEFT JOIN cells c ON c.layer_id = n.layer_id AND c.t = n.t AND c.z_index = n.z_index GROUP BY 1, 2, 3""")
+SELECT n.layer_id, concat('Layer ', n.layer_id) AS title, 'm/s' AS units, -180.0::DOUBLE AS min_x, -90.0::DOUBLE AS min_y, 180.0::DOUBLE AS max_x, 90.0::DOUBLE AS max_y, n.times, n.elevations, min(c.value) AS vmin, max(c.value) AS vmax
+FROM n LEFT JOIN cells c ON c.layer_id = n.layer_id AND c.t = n.t AND c.z_index = n.z_index GROUP BY ALL""")
 def agg7(v):
-    return stats.layer_report(v.cells, world_layers(v).drop("t", "z_index"), v.world_axes)
+    layers = world_layers(v).drop("t", "z_index").withColumns({"title": F.concat(F.lit("Layer "), "layer_id"), "units": F.lit("m/s")})
+    return stats.layer_report(v.cells, layers, v.world_axes)
 
 
 @query("agg8_usage_by", ("usage_log",), """
@@ -105,6 +137,11 @@ def agg11(v):
     return stats.find_duplicate_ids(v.layers, ["dataset_id", "title"])
 
 
+@query("agg11_repeated_titles", ("layers",), "SELECT title, count(*) AS n FROM layers GROUP BY 1 HAVING count(*) > 1")
+def agg11b(v):
+    return stats.find_duplicate_ids(v.layers, ["title"])
+
+
 @query("agg12_distinct_cells_sampled", ("lines",), path_sql("[100]") + f""",
 mp AS (SELECT line_id, n, {WORLD_I.replace('x +', 'round(x, 9) +')} AS i, {WORLD_J.replace('y', 'round(y, 9)')} AS j FROM path)
 SELECT line_id, n, count(DISTINCT CASE WHEN i IS NOT NULL AND j IS NOT NULL THEN i * 1000 + j END) + max(CASE WHEN i IS NULL OR j IS NULL THEN 1 ELSE 0 END) AS cells FROM mp GROUP BY 1, 2""")
@@ -188,9 +225,17 @@ def palettes(v):
     return v.table("part").select(F.concat(F.lit("p"), F.floor(k / 12).cast("string")).alias("palette"), (k % 12).cast("int").alias("seq"), (k * 31 % 256).cast("int").alias("r"), (k * 17 % 256).cast("int").alias("g"), (k * 5 % 256).cast("int").alias("b"))
 
 
-@query("col3_resample_palette")
+@query("col3_resample_palette", (), """
+WITH k AS (SELECT concat('p', CAST(CAST(floor(p_partkey / 12) AS INT) AS STRING)) AS palette, p_partkey % 12 AS seq, p_partkey * 31 % 256 AS r, p_partkey * 17 % 256 AS g, p_partkey * 5 % 256 AS b FROM part),
+p AS (SELECT palette, (row_number() OVER w) - 1 AS i, count(*) OVER (PARTITION BY palette) AS size, r, g, b FROM k WINDOW w AS (PARTITION BY palette ORDER BY seq)),
+f AS (SELECT *, CAST(CASE WHEN i = 0 THEN 0 WHEN i = size - 1 THEN 29 ELSE floor(30.0::DOUBLE * i / (size - 1) + 0.5) END AS INT) AS pos FROM p),
+n AS (SELECT *, lead(pos) OVER w AS nx, lead(r) OVER w AS r2, lead(g) OVER w AS g2, lead(b) OVER w AS b2 FROM f WINDOW w AS (PARTITION BY palette ORDER BY i)),
+j AS (SELECT *, unnest(range(pos + 1, nx)) AS j, CASE WHEN i = size - 2 THEN 30 ELSE nx END AS nd FROM n WHERE nx IS NOT NULL),
+s AS (SELECT *, (j - pos)::DOUBLE / (nd - pos) AS s FROM j)
+SELECT palette, pos AS idx, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM f
+UNION ALL SELECT palette, CAST(j AS INT), CAST(floor(s * r2 + (1 - s) * r + 0.5) AS INT), CAST(floor(s * g2 + (1 - s) * g + 0.5) AS INT), CAST(floor(s * b2 + (1 - s) * b + 0.5) AS INT) FROM s""")
 def col3(v):
-    """More colours than a palette has; held against a plain model in the tests."""
+    """More colours than a palette has."""
     return colour.resample_palette(palettes(v), 30)
 
 
@@ -229,3 +274,12 @@ SELECT t, z_index, i AS px, CAST(17 - j AS INT) AS py, CAST(CASE WHEN value IS N
 def col6b(v):
     both = vectors.components(v.cells, "A", "N").withColumnRenamed("j", "row")
     return colour.render_frames(both, 18, 100, (20000.0, 120000.0)).select("t", "z_index", F.col("i").alias("px"), "py", "idx")
+
+
+@query("col6_render_default_range", ("cells", "bboxes"), f"""WITH {FRAMES}
+SELECT grid_id, t, col AS px, CAST(3 - row AS INT) AS py, CAST(CASE WHEN value IS NULL THEN 254 WHEN value < 20000 OR value > 90000 THEN 255 ELSE least(253, floor(round((value - 20000) / 70000 * 254, 9))) END AS INT) AS idx FROM fs""")
+def col6c(v):
+    """On the layer's default range from the catalogue."""
+    catalogue = v.cells.select("layer_id").distinct().select("layer_id", F.when(F.col("layer_id") == "A", 20000.0).alias("vmin"), F.when(F.col("layer_id") == "A", 90000.0).alias("vmax"))
+    out = colour.render_frames(extract.map_frames(v.cells, v.world_axes, boxes(v), frames(v)), 4, value_range=catalogue)
+    return out.select("grid_id", "t", F.col("col").alias("px"), "py", "idx")
