@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridspark.operators import catalogue, coords, extract
@@ -96,6 +101,22 @@ def cat6(v):
     return catalogue.capabilities_table(layers, v.datasets, v.z_axis, steps, "1996-06-15", verbose=True)
 
 
+@query("cat6_compressed_times", ("cells",), """
+WITH y AS (SELECT DISTINCT layer_id, t FROM cells)
+SELECT layer_id, count(*) AS instants FROM y GROUP BY 1""")
+def cat6c(v):
+    """The time strings of the capabilities in their short form, opened again: runs have the same instants as the axis."""
+    steps = v.cells.select("layer_id", "t").distinct()
+    layers = steps.select("layer_id").distinct().select(F.lit("ds2").alias("dataset_id"), "layer_id", F.lit("title").alias("title"), *[F.lit(0.0).alias(k) for k in ("west", "east", "south", "north")])
+    datasets = v.datasets.filter("dataset_id = 'ds2'").withColumns({"disabled": F.lit(False), "state": F.lit("READY")})
+    table = catalogue.capabilities_table(layers, datasets, v.z_axis, steps, "1996-06-15").select(F.substring_index("name", "/", -1).alias("layer_id"), F.explode(F.split("times", ",")).alias("run"))
+    ends = F.split("run", "/")
+    day = lambda k: F.to_date(F.substring(F.try_element_at(ends, F.lit(k)), 1, 10))
+    period = F.regexp_extract(F.try_element_at(ends, F.lit(3)), r"^P(\d+)D$", 1).try_cast("int")
+    n = F.when(F.size(ends) == 3, F.datediff(day(2), day(1)) / period + 1).otherwise(1).cast("long")
+    return table.select("layer_id", n.alias("n")).groupBy("layer_id").agg(F.sum("n").alias("instants"))
+
+
 @query("cat6_style_rows", ("layers",), """
 WITH p AS (SELECT DISTINCT concat('pal', CAST(n_regionkey AS STRING)) AS palette FROM nation), s AS (SELECT 'boxfill' AS style UNION ALL SELECT 'vector')
 SELECT dataset_id, layer_id, concat(s.style, '/', p.palette) AS style FROM layers CROSS JOIN s CROSS JOIN p WHERE s.style = 'boxfill' OR layers.layer_no % 3 = 0""")
@@ -145,23 +166,39 @@ def cat10(v):
     return catalogue.parse_colour_range(v.table("events").select("event_id", text.alias("text"))).select("event_id", "vmin", "vmax")
 
 
-@query("cat11_usage_entries", ("map_requests",), """
-WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 THEN 'bbox: minimum not below maximum' WHEN event_id % 4 = 3 THEN 'bad colorscalerange' END AS error FROM events)
-SELECT 'GetMap' AS wms_operation, error AS exception_message, CASE WHEN error IS NULL THEN 'ds1' END AS dataset_id, CASE WHEN error IS NULL THEN CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END END AS variable_id,
-       CASE WHEN error IS NULL THEN '255,255,255' END AS background_color, CAST(35 AS BIGINT) AS columns, count(*) AS entries FROM e GROUP BY ALL""")
+_GIVEN = {
+    "wms_operation": "'GetMap'", "wms_version": "CASE WHEN event_id % 2 = 0 THEN '1.3.0' ELSE '1.1.1' END", "exception_message": "error", "crs": "CASE WHEN error IS NULL THEN 'CRS:84' END",
+    "bbox_minx": "CASE WHEN error IS NULL THEN CASE WHEN event_id % 2 = 0 THEN -20 ELSE -40 END END", "bbox_miny": "CASE WHEN error IS NULL THEN CASE WHEN event_id % 2 = 0 THEN -40 ELSE -20 END END",
+    "bbox_maxx": "CASE WHEN error IS NULL THEN CASE WHEN event_id % 2 = 0 THEN 60 ELSE 40 END END", "bbox_maxy": "CASE WHEN error IS NULL THEN CASE WHEN event_id % 2 = 0 THEN 40 ELSE 60 END END",
+    "image_width": "CASE WHEN error IS NULL THEN event_id % 512 + 1 END", "image_height": "CASE WHEN error IS NULL THEN 256 END", "layer": "CASE WHEN error IS NULL THEN concat('ds1/', letter) END", "dataset_id": "CASE WHEN error IS NULL THEN 'ds1' END",
+    "variable_id": "CASE WHEN error IS NULL THEN letter END", "style_str": "CASE WHEN error IS NULL THEN '' END", "output_format": "CASE WHEN error IS NULL THEN 'image/png' END", "transparent": "CASE WHEN error IS NULL THEN false END", "background_color": "CASE WHEN error IS NULL THEN '255,255,255' END"}
+_USAGE = [c.split() for c in catalogue.USAGE.replace("\n", " ").split(",")]
+_ENTRIES = """e AS (SELECT event_id, user_id, CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS letter, CASE WHEN event_id % 11 = 0 THEN 'bbox: minimum not below maximum' WHEN event_id % 4 = 3 THEN 'bad colorscalerange' END AS error FROM events)"""
+_ENTRY_SQL = f"WITH {_ENTRIES} SELECT " + ", ".join(f"CAST({_GIVEN.get(name, 'NULL')} AS {kind}) AS {name}" for name, kind in _USAGE) + " FROM e"
+
+
+def _parsed(requests):
+    version = F.try_element_at("params", F.lit("version"))
+    return catalogue.parse_map_requests(catalogue.parse_request_params(requests)).withColumns({"wms_operation": F.lit("GetMap"), "version": version})
+
+
+@query("cat11_usage_entries", ("map_requests",), _ENTRY_SQL)
 def cat11(v):
-    parsed = catalogue.parse_map_requests(catalogue.parse_request_params(v.map_requests)).withColumn("wms_operation", F.lit("GetMap"))
-    log = catalogue.usage_entries(parsed)
-    return log.groupBy("wms_operation", "exception_message", "dataset_id", "variable_id", "background_color").agg(F.lit(len(log.columns)).cast("long").alias("columns"), F.count("*").alias("entries"))
+    return catalogue.usage_entries(_parsed(v.map_requests))
 
 
 # --- sources and sinks: each writes the tables' data to a folder of its own and reads it back ---
 
 
 def folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/gridspark-{tempfile.mktemp(dir='').lstrip('/')}"
+    """A new folder that driver and executors share; a session of one process may do without spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/gridspark-{uuid.uuid4().hex}"
 
 
 @query("src1_read_cells", ("cells",), "SELECT layer_id, count(*) AS n, round(sum(value), 2) AS total, CAST(1 AS BIGINT) AS has_source FROM cells GROUP BY layer_id")
@@ -192,82 +229,97 @@ def src5(v):
     return io.mask_nonpositive(v.table("events").select("event_id", (F.col("value") - 50).alias("value")))
 
 
+def _write_rasters(folder: str):
+    """One raster of 721 x 721 little-endian 16-bit numbers for each month, as a file of the folder that all tasks see."""
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for month, cells in zip(frame["month"], frame["cells"], strict=True):
+                raster = np.zeros(io.POLAR_SIZE * io.POLAR_SIZE, "<i2")
+                for c in cells:
+                    raster[c["row"] * io.POLAR_SIZE + c["col"]] = c["n"]
+                with open(f"{folder}/NL1999{month:02d}.v01.NSIDC8", "wb") as f:
+                    f.write(raster.tobytes())
+            yield frame[["month"]]
+
+    return write
+
+
 @query("src3_read_polar_binary", ("points",), """
-WITH r AS (SELECT point_id, y, radians(x) AS lam, 2 * 6371.228 / 25.067525 * sin(pi() / 4 - radians(y) / 2) AS rho FROM points WHERE y BETWEEN 0 AND 90),
-c AS (SELECT CAST(floor(360 + rho * cos(lam) + 0.5) AS INT) AS j, CAST(floor(360 + rho * sin(lam) + 0.5) AS INT) AS i, count(*) AS n FROM r GROUP BY 1, 2)
-SELECT 'swe' AS layer_id, TIMESTAMP '1999-03-01 00:00:00' AS t, j, i, CAST(least(n, 30000) AS DOUBLE) AS value FROM c""")
+WITH r AS (SELECT CAST(point_id % 4 + 1 AS INT) AS month, radians(x) AS lam, 2 * 6371.228 / 25.067525 * sin(pi() / 4 - radians(y) / 2) AS rho FROM points WHERE y BETWEEN 0 AND 90),
+c AS (SELECT month, CAST(floor(360 + rho * cos(lam) + 0.5) AS INT) AS j, CAST(floor(360 + rho * sin(lam) + 0.5) AS INT) AS i, count(*) AS n FROM r GROUP BY 1, 2, 3)
+SELECT 'swe' AS layer_id, make_timestamp(1999, month, 1, 0, 0, 0) AS t, CAST(0 AS INT) AS z_index, j, i, CAST(least(n, 30000) AS DOUBLE) AS value FROM c""")
 def src3(v):
-    """A raster of how many points fall in each polar cell, written as a binary file by Spark and read again."""
-    cells = coords.polar_cell_index(v.points.withColumnsRenamed({"x": "lon", "y": "lat"})).filter("row is not null").groupBy("row", "col").agg(F.least(F.count("*"), F.lit(30000)).alias("n"))
-    rows = cells.groupBy("row").agg(F.collect_list(F.struct("col", "n")).alias("cells"))
-    every = v.spark.range(io.POLAR_SIZE).select(F.col("id").cast("int").alias("row")).join(rows, "row", "left")
-    two = lambda n: F.concat(F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0"))
-    at = F.map_from_entries(F.coalesce("cells", F.array().cast("array<struct<col:int,n:bigint>>")))
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(io.POLAR_SIZE - 1)), lambda c: two(F.coalesce(F.try_element_at(at, c), F.lit(0)))), "")
-    raster = every.withColumn("line", line).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "").alias("hex"))
-    files = raster.select(F.lit("/data/NL199903.v01.NSIDC8").alias("source_file"), F.unhex("hex").alias("content"))
-    decoded = files.mapInPandas(io._decode_rasters, "source_file string, j int, i int, value double")
-    dated = io.time_from_filename(decoded, *io.POLAR_NAME)
-    return dated.select(F.lit("swe").alias("layer_id"), F.col("t").cast("timestamp_ntz").alias("t"), "j", "i", "value")
-
-
-@query("snk1_write_usage_csv", ("usage_log",), "SELECT wms_operation, count(*) AS n, count(client_referrer) AS referred FROM usage_log GROUP BY 1")
+    """Rasters of how many points fall in each polar cell, a file a month, read by the reader of that name."""
+    out = folder(v.spark).removeprefix("file://").removeprefix("file:")
+    os.makedirs(out)
+    placed = coords.polar_cell_index(v.points.withColumnsRenamed({"x": "lon", "y": "lat"})).filter("row is not null").withColumn("month", (F.col("point_id") % 4 + 1).cast("int"))
+    counts = placed.groupBy("month", "row", "col").agg(F.least(F.count("*"), F.lit(30000)).cast("int").alias("n"))
+    rasters = counts.groupBy("month").agg(F.collect_list(F.struct("row", "col", "n")).alias("cells"))  # 721 x 721 cells at most
+    rasters.mapInPandas(_write_rasters(out), "month int").write.format("noop").mode("overwrite").save()
+    cells = io.read_with("polar", v.spark, f"{out}/NL*.NSIDC8")
+    return cells.withColumn("t", F.col("t").cast("timestamp_ntz"))
+
+
+@query("snk1_write_usage_csv", ("usage_log",), "SELECT * FROM usage_log")
 def snk1(v):
     out = folder(v.spark)
     io.write_usage_csv(v.usage_log, out)
-    return v.spark.read.option("header", True).csv(out).groupBy("wms_operation").agg(F.count("*").alias("n"), F.count("client_referrer").alias("referred"))
+    kinds = {f.name: f.dataType for f in v.usage_log.schema}
+    read = v.spark.read.option("header", True).csv(out)
+    return read.select(*[F.col(c).cast(kinds[c]).alias(c) for c in read.columns])
 
 
 @query("snk2_write_feature_info", ("cells", "requests"), f"""
 WITH rq AS (SELECT *, {WORLD_I} AS i, {WORLD_J} AS j FROM requests), ts AS (SELECT DISTINCT layer_id, t FROM cells)
-SELECT rq.request_id, count(*) AS steps, count(*) FILTER (c.value IS NULL) AS missing FROM rq JOIN ts ON ts.layer_id = rq.layer_id LEFT JOIN cells c ON c.layer_id = rq.layer_id AND c.t = ts.t AND c.z_index = rq.z_index AND c.j = rq.j AND c.i = rq.i GROUP BY 1""")
+SELECT rq.request_id, rq.x AS lon, rq.y AS lat, rq.i, rq.j, CAST(-175 + 10 * rq.i AS DOUBLE) AS cell_x, CAST(-85 + 10 * rq.j AS DOUBLE) AS cell_y, strftime(ts.t, '%Y-%m-%d') AS time, coalesce(CAST(c.value AS STRING), 'none') AS value
+FROM rq JOIN ts ON ts.layer_id = rq.layer_id LEFT JOIN cells c ON c.layer_id = rq.layer_id AND c.t = ts.t AND c.z_index = rq.z_index AND c.j = rq.j AND c.i = rq.i""")
 def snk2(v):
     out = folder(v.spark)
-    series = extract.read_timeseries(v.cells, v.cells.select("layer_id", "t").distinct(), v.world_axes, v.requests.withColumn("grid_id", F.lit(WORLD)).drop("t"))
-    info = series.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("series"))
-    io.write_feature_info(info, out)
-    read = v.spark.read.schema("request_id long, series array<struct<time:string,value:string>>").json(out)
-    return read.select("request_id", F.size("series").cast("long").alias("steps"), F.size(F.filter("series", lambda s: s["value"] == "none")).cast("long").alias("missing"))
+    asked = v.requests.withColumn("grid_id", F.lit(WORLD)).drop("t")
+    series = extract.read_timeseries(v.cells, v.cells.select("layer_id", "t").distinct(), v.world_axes, asked).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("series"))
+    placed = extract.point_map(v.world_axes, asked).select("request_id", F.col("x").alias("lon"), F.col("y").alias("lat"), "i", "j", (F.col("i") * 10.0 - 175).alias("cell_x"), (F.col("j") * 10.0 - 85).alias("cell_y"))
+    io.write_feature_info(placed.join(series, "request_id"), out)
+    read = v.spark.read.schema("request_id long, lon double, lat double, i int, j int, cell_x double, cell_y double, series array<struct<time:string,value:string>>").json(out)
+    return read.select("request_id", "lon", "lat", "i", "j", "cell_x", "cell_y", F.explode("series").alias("s")).select("request_id", "lon", "lat", "i", "j", "cell_x", "cell_y", "s.time", "s.value")
 
 
 @query("snk3_write_transect", ("cells", "lines"), TRANSECT + """
-SELECT mp.line_id, CAST(count(*) AS INT) AS count, count(*) FILTER (c.value IS NULL) AS missing FROM mp CROSS JOIN one LEFT JOIN cells c ON c.layer_id = 'N' AND c.t = one.t AND c.z_index = 2 AND c.j = mp.j AND c.i = mp.i GROUP BY 1""")
+SELECT mp.line_id, CAST(40 AS INT) AS count, mp.k, round(round(p.x, 9), 6) AS x, round(round(p.y, 9), 6) AS y, coalesce(CAST(c.value AS STRING), 'none') AS value FROM mp JOIN path p ON p.line_id = mp.line_id AND p.k = mp.k CROSS JOIN one
+LEFT JOIN cells c ON c.layer_id = 'N' AND c.t = one.t AND c.z_index = 2 AND c.j = mp.j AND c.i = mp.i""")
 def snk3(v):
     out = folder(v.spark)
     io.write_transect(extract.transect(v.cells, v.world_axes, transect_points(v).withColumn("z_index", F.lit(2))), out, ["line_id"], "xml")
     read = v.spark.read.format("xml").option("rowTag", "transect").schema("line_id long, count int, points array<struct<k:int,x:double,y:double,value:string>>").load(out)
-    return read.select("line_id", "count", F.size(F.filter("points", lambda p: p["value"] == "none")).cast("long").alias("missing"))
+    return read.select("line_id", "count", F.explode("points").alias("p")).select("line_id", "count", "p.k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), "p.value")
 
 
 @query("snk4_write_tiles", ("cells",), """
-SELECT layer_id, CAST(1 AS INT) AS zoom, count(*) AS pixels FROM cells JOIN (SELECT CAST(floor(((k + 0.5::DOUBLE) * (360.0::DOUBLE / 32) - 180 + 175) / 10 + 0.5) AS INT) AS i FROM range(32) AS r(k)) USING (i)
-JOIN (SELECT CAST(floor(((k + 0.5::DOUBLE) * (360.0::DOUBLE / 32) - 90 + 85) / 10 + 0.5) AS INT) AS j FROM range(16) AS r(k)) USING (j) GROUP BY 1""")
+WITH z AS (SELECT unnest([1, 2]) AS zoom),
+cs AS (SELECT zoom, k, CAST(floor(((k + 0.5::DOUBLE) * (360.0::DOUBLE / (pow(2, zoom) * 16)) - 180 + 175) / 10 + 0.5) AS INT) AS i FROM (SELECT zoom, unnest(range(CAST(16 * pow(2, zoom) AS BIGINT))) AS k FROM z)),
+rs AS (SELECT zoom, k, CAST(floor(((k + 0.5::DOUBLE) * (360.0::DOUBLE / (pow(2, zoom) * 16)) - 90 + 85) / 10 + 0.5) AS INT) AS j FROM (SELECT zoom, unnest(range(CAST(8 * pow(2, zoom) AS BIGINT))) AS k FROM z))
+SELECT c.layer_id, c.t, c.z_index, CAST(cs.zoom AS INT) AS zoom, CAST(rs.k // 16 AS INT) AS tile_row, CAST(cs.k // 16 AS INT) AS tile_col, CAST(cs.k % 16 AS INT) AS px, CAST(rs.k % 16 AS INT) AS py, c.value
+FROM cells c JOIN cs ON cs.i = c.i JOIN rs ON rs.j = c.j AND rs.zoom = cs.zoom WHERE c.z_index = 0""")
 def snk4(v):
     out = folder(v.spark)
-    io.write_tiles(extract.tile_pyramid(v.cells, v.world_axes, WORLD, (1,), 16), out)
-    return v.spark.read.parquet(out).groupBy("layer_id", "zoom").agg(F.count("*").alias("pixels"))
+    io.write_tiles(extract.tile_pyramid(v.cells.filter("z_index = 0"), v.world_axes, WORLD, (1, 2), 16), out)
+    return v.spark.read.parquet(out).select("layer_id", "t", "z_index", "zoom", "tile_row", "tile_col", "px", "py", "value")
 
 
-@query("str1_stream_usage_log", ("map_requests",), """
-SELECT 'GetMap' AS wms_operation, CASE WHEN event_id % 11 = 0 OR event_id % 4 = 3 THEN 'bad' ELSE 'good' END AS kind, count(*) AS n FROM events GROUP BY ALL""")
+@query("str1_stream_usage_log", ("map_requests",), _ENTRY_SQL)
 def str1(v):
     source, log, checkpoint = folder(v.spark), folder(v.spark), folder(v.spark)
     v.map_requests.write.parquet(source)
     requests = usage.stream_requests(v.spark, source, "request_id long, url string")
-    parsed = catalogue.parse_map_requests(catalogue.parse_request_params(requests)).withColumn("wms_operation", F.lit("GetMap"))
-    usage.stream_usage_log(parsed, log, checkpoint).awaitTermination()
-    kind = F.when(F.col("exception_message").isNotNull(), "bad").otherwise("good")
-    return v.spark.read.parquet(log).groupBy("wms_operation", kind.alias("kind")).agg(F.count("*").alias("n"))
+    usage.stream_usage_log(_parsed(requests), log, checkpoint).awaitTermination()
+    return v.spark.read.parquet(log)
 
 
 @query("str2_stream_usage_by", ("usage_log",), """
 SELECT client_hostname, count(*) AS requests, count(*) FILTER (used_cache) AS cached, count(*) FILTER (used_cache) * 100.0::DOUBLE / count(*) AS percent FROM usage_log WHERE wms_operation = 'GetMap' GROUP BY 1""")
 def str2(v):
-    source, checkpoint = folder(v.spark), folder(v.spark)
+    source, out, checkpoint = folder(v.spark), folder(v.spark), folder(v.spark)
     v.usage_log.select("client_hostname", "wms_operation", "used_cache").write.parquet(source)
     stream = usage.stream_requests(v.spark, source, "client_hostname string, wms_operation string, used_cache boolean")
-    name = "usage_" + source.rsplit("-", 1)[1]
-    usage.start_usage_by(stream, "client_hostname", name, checkpoint).awaitTermination()
-    return v.spark.table(name).groupBy("client_hostname").agg(F.max_by(F.struct("requests", "cached", "percent"), "requests").alias("r")).select("client_hostname", "r.*")
-
-
+    usage.start_usage_by(stream, "client_hostname", out, checkpoint).awaitTermination()
+    return usage.read_usage_by(v.spark, "client_hostname", out)

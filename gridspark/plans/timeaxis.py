@@ -78,15 +78,35 @@ def tim4(v):
     return v.cf_times.select("event_id", ms.alias("ms"), error.alias("error"))
 
 
-@query("tim5_calendar_fields", ("cf_times",), """
-WITH d AS (SELECT event_id, calendar, CAST(floor(num * 30) AS BIGINT) AS day FROM cf_times WHERE calendar IN ('360_day', 'gregorian'))
-SELECT event_id, CAST(CASE WHEN calendar = '360_day' THEN floor(day / 360) + 1970 ELSE year(DATE '1970-01-01' + CAST(day AS INT)) END AS INT) AS year,
-       CAST(CASE WHEN calendar = '360_day' THEN floor(((day % 360 + 360) % 360) / 30) + 1 ELSE month(DATE '1970-01-01' + CAST(day AS INT)) END AS INT) AS month,
-       CAST(CASE WHEN calendar = '360_day' THEN (day % 30 + 30) % 30 + 1 ELSE day(DATE '1970-01-01' + CAST(day AS INT)) END AS INT) AS day FROM d""")
+def _starts_sql(lengths) -> str:
+    return "[" + ", ".join(str(sum(lengths[:k])) for k in range(12)) + "]"
+
+
+def _fields_sql(day: str) -> str:
+    """struct(year, month, day) of a day number, by calendar: the year, the day of the year, then the months' first days."""
+    fixed = {c: (f"CAST(floor({day} / {sum(m)}.0) AS BIGINT) + 1970", f"({day} % {sum(m)} + {sum(m)}) % {sum(m)}", _starts_sql(m)) for c, m in calendars.FIXED.items()}
+    # the Julian calendar is 13 days behind in 1970, and its years come in fours that begin with a leap year: 1968
+    four = f"({day} - 13 + 731)"
+    rest = f"(({four} % 1461 + 1461) % 1461)"
+    late = f"CASE WHEN {rest} < 366 THEN 0 ELSE 1 + ({rest} - 366) // 365 END"
+    of_year = f"CASE WHEN {rest} < 366 THEN {rest} ELSE ({rest} - 366) % 365 END"
+    starts = f"CASE WHEN {rest} < 366 THEN {_starts_sql(calendars.FIXED['all_leap'])} ELSE {_starts_sql(calendars.FIXED['noleap'])} END"
+    fixed["julian"] = (f"1968 + 4 * CAST(floor({four} / 1461.0) AS BIGINT) + {late}", of_year, starts)
+    cases = "".join(f" WHEN '{c}' THEN {{'y': {y}, 'd': {d}, 's': {s}}}" for c, (y, d, s) in fixed.items())
+    return f"CASE calendar{cases} END"
+
+
+_DATE_SQL = f"""d AS (SELECT *, {_fields_sql('day')} AS f FROM n),
+e AS (SELECT *, CASE WHEN calendar = 'gregorian' THEN year(DATE '1970-01-01' + CAST(day AS INT)) ELSE f.y END AS year, CASE WHEN calendar = 'gregorian' THEN month(DATE '1970-01-01' + CAST(day AS INT)) ELSE len(list_filter(f.s, lambda x: x <= f.d)) END AS month FROM d)"""
+
+
+@query("tim5_calendar_fields", ("cf_times",), f"""
+WITH n AS (SELECT event_id, calendar, CAST(floor(num * 30) AS BIGINT) AS day FROM cf_times), {_DATE_SQL}
+SELECT event_id, calendar, CAST(year AS INT) AS year, CAST(month AS INT) AS month, CAST(CASE WHEN calendar = 'gregorian' THEN day(DATE '1970-01-01' + CAST(day AS INT)) ELSE f.d - f.s[month] + 1 END AS INT) AS day FROM e""")
 def tim5(v):
     day = F.floor(F.col("num") * 30).cast("long") * calendars.DAY
     f = calendars.calendar_fields(day, F.col("calendar"))
-    return v.cf_times.filter("calendar in ('360_day', 'gregorian')").select("event_id", *[f[k].alias(k) for k in ("year", "month", "day")])
+    return v.cf_times.select("event_id", "calendar", *[f[k].alias(k) for k in ("year", "month", "day")])
 
 
 @query("tim5_round_trip", ("cf_times",), """
@@ -99,21 +119,26 @@ def tim5b(v):
     return fields.select("event_id", "calendar", calendars.calendar_ms(F.col("calendar"), *[F.col(f"f.{k}") for k in parts]).alias("ms"))
 
 
-@query("tim6_calendar_add_months", ("cf_times",), """
-SELECT event_id, CAST(floor(num * 30) AS BIGINT) * 86400000 + (event_id % 41 - 20) * CAST(30 AS BIGINT) * 86400000 AS ms FROM cf_times WHERE calendar = '360_day'""")
+_SIZES = "CASE calendar" + "".join(f" WHEN '{c}' THEN {sum(m)}" for c, m in calendars.FIXED.items()) + " END"
+
+
+@query("tim6_calendar_add_months", ("cf_times",), f"""
+WITH n AS (SELECT event_id, calendar, CAST(floor(num * 30) AS BIGINT) AS day, event_id % 41 - 20 AS add FROM cf_times), {_DATE_SQL},
+k AS (SELECT *, {_SIZES} AS size, CAST(trunc(add / 12.0) AS BIGINT) AS years, month - 1 + add - 12 * CAST(trunc(add / 12.0) AS BIGINT) AS to_month FROM e WHERE calendar NOT IN ('gregorian', 'julian'))
+SELECT event_id, calendar, (day + years * size + CAST(floor(to_month / 12.0) AS BIGINT) * size + f.s[CAST((to_month % 12 + 12) % 12 AS INT) + 1] - f.s[month]) * 86400000 AS ms FROM k
+UNION ALL SELECT event_id, calendar, NULL FROM cf_times WHERE calendar IN ('gregorian', 'julian')""")
 def tim6(v):
+    """In the calendars whose years are all alike; null in the others."""
     start = F.floor(F.col("num") * 30).cast("long") * calendars.DAY
-    return v.cf_times.filter("calendar = '360_day'").select("event_id", calendars.calendar_add_months(start, F.col("event_id") % 41 - 20, F.col("calendar")).alias("ms"))
+    return v.cf_times.select("event_id", "calendar", calendars.calendar_add_months(start, F.col("event_id") % 41 - 20, F.col("calendar")).alias("ms"))
 
 
-@query("tim7_julian_fields", ("cf_times",), """
-WITH d AS (SELECT event_id, CAST(floor(num * 100) AS INT) AS day FROM cf_times),
-g AS (SELECT event_id, DATE '1970-01-01' + day - 13 AS g FROM d)
-SELECT event_id, CAST(year(g) AS INT) AS year, CAST(month(g) AS INT) AS month, CAST(day(g) AS INT) AS day FROM g WHERE year(g) BETWEEN 1901 AND 2098""")
+@query("tim7_julian_fields", ("cf_times",), f"""
+WITH n AS (SELECT event_id, 'julian' AS calendar, CAST(floor(num * 1000) AS BIGINT) AS day FROM cf_times), {_DATE_SQL}
+SELECT event_id, CAST(year AS INT) AS year, CAST(month AS INT) AS month, CAST(f.d - f.s[month] + 1 AS INT) AS day FROM e""")
 def tim7(v):
-    """Between 1901 and 2099 both calendars have the same leap years and are 13 days apart."""
-    f = calendars.julian_fields(F.floor(F.col("num") * 100).cast("long") * calendars.DAY)
-    return v.cf_times.select("event_id", *[f[k].alias(k) for k in ("year", "month", "day")]).filter("year between 1901 and 2098")
+    f = calendars.julian_fields(F.floor(F.col("num") * 1000).cast("long") * calendars.DAY)
+    return v.cf_times.select("event_id", *[f[k].alias(k) for k in ("year", "month", "day")])
 
 
 @query("tim8_iso", (), f"SELECT event_id, {iso('ts')} AS iso, strftime(ts, '%H:%M:%S.%g') || 'Z' AS clock, date_trunc('millisecond', ts) AS back FROM events")

@@ -63,7 +63,9 @@ def mask_nonpositive(df: DataFrame, value: str = "value") -> DataFrame:
 def _decode_rasters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for name, content in zip(frame["source_file"], frame["content"], strict=True):
-            raster = np.frombuffer(content, "<i2", min(len(content) // 2, POLAR_SIZE * POLAR_SIZE))
+            if len(content) != 2 * POLAR_SIZE * POLAR_SIZE:
+                raise ValueError(f"{name} has {len(content)} bytes, where a raster of {POLAR_SIZE} x {POLAR_SIZE} has {2 * POLAR_SIZE * POLAR_SIZE}")
+            raster = np.frombuffer(content, "<i2")
             at = np.flatnonzero(raster > 0)
             for part in np.array_split(at, max(1, len(at) // 65536)):
                 yield pd.DataFrame({"source_file": name, "j": (part // POLAR_SIZE).astype(np.int32), "i": (part % POLAR_SIZE).astype(np.int32), "value": raster[part].astype(float)})
@@ -72,7 +74,7 @@ def _decode_rasters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_polar_binary(spark: SparkSession, glob: str, layer_id: str = "swe") -> DataFrame:
     """cells of monthly little-endian int16 rasters of 721 x 721; values of 0 or less are missing.
 
-    The month is in the file's name; files without one are left out (time_from_filename names them).
+    A file of any other size is an error.  The month is in the file's name; files without one are left out (time_from_filename names them).
     """
     files = spark.read.format("binaryFile").load(glob).select(F.col("path").alias("source_file"), "content")
     cells = files.mapInPandas(_decode_rasters, "source_file string, j int, i int, value double")
@@ -85,7 +87,9 @@ register_reader("parquet", read_cells)
 
 
 def write_usage_csv(log: DataFrame, path: str) -> None:
-    log.write.mode("overwrite").option("header", True).csv(path)
+    """The whole log as CSV with a header, instants to the microsecond."""
+    whole = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    log.write.mode("overwrite").options(header=True, timestampFormat=whole + "XXX", timestampNTZFormat=whole).csv(path)
 
 
 def feature_info_rows(info: DataFrame) -> DataFrame:

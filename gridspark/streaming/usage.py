@@ -25,6 +25,18 @@ def stream_usage_by(log: DataFrame, dim: str) -> DataFrame:
     return out.withColumn("percent", F.col("cached") * 100.0 / F.col("requests"))
 
 
-def start_usage_by(log: DataFrame, dim: str, name: str, checkpoint: str) -> StreamingQuery:
-    """The running counts into a table in memory, updated rows only."""
-    return stream_usage_by(log, dim).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_usage_by(log: DataFrame, dim: str, out: str, checkpoint: str) -> StreamingQuery:
+    """The rows that each batch updates, into a folder of its own below ``out``, until all that has arrived is counted.
+
+    A batch that is run again after a failure overwrites its own folder.  read_usage_by gives the counts of now.
+    """
+    def write(updated: DataFrame, batch: int) -> None:
+        updated.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return stream_usage_by(log, dim).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_usage_by(spark: SparkSession, dim: str, out: str) -> DataFrame:
+    """(dim, requests, cached, percent): the latest row of every value, most frequent first."""
+    latest = spark.read.option("basePath", out).parquet(f"{out}/batch=*").groupBy(dim).agg(F.max_by(F.struct("requests", "cached", "percent"), "batch").alias("r"))
+    return latest.select(dim, "r.*").orderBy(F.desc("requests"), dim)

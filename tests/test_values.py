@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridspark.functions import calendars, geo
-from gridspark.operators import catalogue, colour, coords, elevation, extract, stats, timeaxis, vectors
+from gridspark.operators import catalogue, colour, coords, curvilinear, elevation, extract, stats, timeaxis, vectors
+from gridspark.sources import io
 
 
 def one(spark, c):
@@ -188,3 +191,58 @@ def test_linestrings(spark):
     assert sorted(r.line_id for r in coords.bad_linestrings(lines).collect()) == [2, 3, 4]
     points = extract.points_on_path(coords.parse_linestring(lines), 6).orderBy("k").collect()
     assert [(r.k, round(r.x, 9), round(r.y, 9)) for r in points] == [(k, round(0.6 * k, 9), round(0.8 * k, 9)) for k in range(6)]
+
+
+def test_animation_thins_axes_of_any_year(spark):
+    def model(times, months, days):
+        """Add months with a clipped day, then days, by the calendar module's own rule for month lengths."""
+        kept = [times[0]]
+        for t in times[1:]:
+            k = kept[-1]
+            y, m = k.year + (k.month - 1 + months) // 12, (k.month - 1 + months) % 12 + 1
+            due = datetime.datetime(y, m, min(k.day, calendar.monthrange(y, m)[1]), k.hour) + datetime.timedelta(days=days)
+            if t >= due:
+                kept.append(t)
+        return kept
+
+    for first in (1500, 1999, 3000):
+        start = datetime.datetime(first, 1, 31, 6)
+        times = [start + datetime.timedelta(days=d) for d in range(0, 1500, 3)]
+        steps = spark.createDataFrame([("a", t.isoformat()) for t in times], "layer_id string, s string").select("layer_id", F.col("s").cast("timestamp").alias("t"))
+        got = {r.label: r.times.split(",") for r in timeaxis.animation_timesteps(steps).filter("label <> 'Full'").collect()}
+        for label, (months, days) in timeaxis.PERIODS.items():
+            assert got[label] == [f"{t.isoformat()}.000Z" for t in model(times, months, days)]
+
+
+def test_polar_files_and_readers(spark, tmp_path):
+    raster = np.zeros((721, 721), "<i2")
+    raster[3, 5], raster[700, 1], raster[9, 9] = 7, 300, -4
+    for name in ("NL199903.v01.NSIDC8", "NL200112.v01.NSIDC8", "notes.NSIDC8"):
+        (tmp_path / name).write_bytes(raster.tobytes())
+    cells = sorted((r.t.isoformat(), r.j, r.i, r.value) for r in io.read_with("polar", spark, f"{tmp_path}/*.NSIDC8").collect())
+    assert cells == [(f"{m}T00:00:00", j, i, v) for m in ("1999-03-01", "2001-12-01") for j, i, v in ((3, 5, 7.0), (700, 1, 300.0))]
+    for size in (721 * 721 - 1, 721 * 721 + 1):
+        (tmp_path / "NL199904.v01.NSIDC8").write_bytes(np.ones(size, "<i2").tobytes())
+        with pytest.raises(Exception, match="where a raster of 721 x 721"):
+            io.read_with("polar", spark, f"{tmp_path}/NL199904*").count()
+    io.register_reader("twice", lambda s, glob: io.read_polar_binary(s, glob, "two"))
+    assert {r.layer_id for r in io.read_with("twice", spark, f"{tmp_path}/NL199903*").collect()} == {"two"}
+    with pytest.raises(ValueError, match="no reader"):
+        io.read_with("unheard", spark, "/x")
+    with pytest.raises(ValueError, match="absolute"):
+        io.read_cells(spark, "relative/*.parquet")
+
+
+def test_vector_layers_are_read_as_magnitudes(spark):
+    cells = spark.createDataFrame([("u", 1, 0, 0, 0, 3.0), ("v", 1, 0, 0, 0, 4.0), ("u", 1, 0, 0, 1, 5.0), ("x", 1, 0, 0, 0, 9.0)], "layer_id string, t int, z_index int, j int, i int, value double")
+    pairs = spark.createDataFrame([("uv", "u", "v"), ("ux", "u", "x")], "layer_id string, east_id string, north_id string")
+    got = {(r.layer_id, r.i): r.value for r in vectors.with_vectors(cells, pairs).collect()}
+    assert got == {("u", 0): 3.0, ("v", 0): 4.0, ("u", 1): 5.0, ("x", 0): 9.0, ("uv", 0): 5.0, ("uv", 1): None, ("ux", 0): 90**0.5, ("ux", 1): None}
+
+
+def test_containing_cells_of_fine_and_coarse_grids(spark):
+    rows = [(g, i, j, -179.0 + step * i, -60.0 + step * j) for g, step in (("fine", 0.05), ("coarse", 11.0)) for i in range(12) for j in range(8)]
+    grid = spark.createDataFrame(rows, "grid_id string, i int, j int, lon double, lat double")
+    at = spark.createDataFrame([(k, g, -179.0 + step * x, -60.0 + step * y) for k, (g, step, x, y) in enumerate((g, s, x, y) for g, s in (("fine", 0.05), ("coarse", 11.0)) for x in (0.2, 3.4, 10.9) for y in (0.3, 6.6))], "point_id long, grid_id string, lon double, lat double")
+    got = {r.point_id: (r.i, r.j) for r in curvilinear.curv_containing(at, curvilinear.curv_cell_polygons(grid)).collect()}
+    assert [got[k] for k in range(12)] == [(x, y) for _ in range(2) for x in (0, 3, 11) for y in (0, 7)]
