@@ -143,9 +143,11 @@ def links(fps: DataFrame, distance: int = 2, layouts: tuple[int, ...] = (2, 3, 4
     """(u, v): fingerprints' smallest ids, linked so that the components are those of all pairs within distance.
 
     fps: (fp, rep), distinct.  A signature shared by more than ``crowded`` fingerprints is not joined with itself:
-    its members meet instead at the values one bit away from them, where at most 65 can meet (distance 2 only; for
-    other distances at most distance 3 is allowed and the joins stay).
+    its members meet instead at the values one bit away from them, where at most 65 can meet.  That way is exact for
+    distance 2, so no other distance is taken (simhash_similar finds pairs that are further apart).
     """
+    if distance != 2:
+        raise ValueError("links are searched at distance 2")
     n = fps.count()
     both = bit_counts(fps)
     ways = [group_bits(both, n, k) for k in layouts]
@@ -153,17 +155,15 @@ def links(fps: DataFrame, distance: int = 2, layouts: tuple[int, ...] = (2, 3, 4
     _, parts, thresholds = min((cost, parts, ts) for i, parts in enumerate(ways) for cost, ts in [allocate(parts, [same.get((i, j), 0.0) for j in range(len(parts))], both, n, distance)])
     sigs = materialize(fps.select("fp", "rep", F.explode(probes(F.col("fp"), parts, thresholds)).alias("s")).select("s.probe", "s.bits", "fp", "rep"), "probes")
     sizes = sigs.groupBy("probe", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    most = crowded if distance == 2 else 2**62
-    quiet = sigs.join(sizes.filter(F.col("n") <= most).drop("n"), ["probe", "bits"])
+    quiet = sigs.join(sizes.filter(F.col("n") <= crowded).drop("n"), ["probe", "bits"])
     a, b = quiet.alias("a"), quiet.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
     pairs = a.join(b, (F.col("a.probe") == F.col("b.probe")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    if distance == 2:
-        loud = sigs.join(sizes.filter(F.col("n") > most).drop("n"), ["probe", "bits"]).select("fp", "rep").distinct()
-        around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_mask([b])).cast("long")) for b in range(BITS)])
-        meet = loud.select("rep", F.explode(around).alias("z"))
-        first = meet.groupBy("z").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).filter("v < last").drop("last")
-        pairs = pairs.unionByName(meet.join(first, "z").select(F.col("rep").alias("u"), "v"))
+    loud = sigs.join(sizes.filter(F.col("n") > crowded).drop("n"), ["probe", "bits"]).select("fp", "rep").distinct()
+    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_mask([b])).cast("long")) for b in range(BITS)])
+    meet = loud.select("rep", F.explode(around).alias("z"))
+    first = meet.groupBy("z").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).filter("v < last").drop("last")
+    pairs = pairs.unionByName(meet.join(first, "z").select(F.col("rep").alias("u"), "v"))
     return pairs.filter("u <> v").distinct()
 
 

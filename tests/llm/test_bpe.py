@@ -52,3 +52,9 @@ def test_edges(empty, clashing, corpus, ranks):
     out = bpe.encode(clashing, ranks, public_tokenizers.PATTERN)
     assert sorted(out.columns) == sorted(c for c in clashing.columns if c != "text") and out.filter("shard <> 1").count() == 0
     assert dict(out.dtypes)["ids"] == "binary" and out.filter(F.col("ids").isNull()).count() == 0
+
+
+def test_long_text(spark, ranks, library):
+    text = " ".join(f"word{k * k % 7919} naïve{k}" for k in range(40_000)) + "z" * 50_000
+    out = bpe.decode(bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), ranks, public_tokenizers.PATTERN), ranks).first()
+    assert np.frombuffer(out.ids, "<u4").tolist() == library.encode_ordinary(text) and bytes(out.decoded) == text.encode()

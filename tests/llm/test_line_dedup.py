@@ -45,3 +45,28 @@ def test_columns_and_repeats(spark, clashing, corpus):
 
 def test_empty(empty):
     assert line_dedup.dedup_lines(empty, filter_bits=2**12).collect() == []
+
+
+def test_long_text(spark):
+    line = "  One line of Many that Repeats  "
+    long = "\n".join(line if i % 3 == 0 else f"line number {i} stands here alone" for i in range(50_000))
+    rows = [(1, long, "x"), (2, line, "y"), (3, f"a\n{line}\nb", "z"), (4, "x" * 2_000_000, "w")]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_dropped string")).collect()}
+    assert got == brute(rows) and got[1][1] == 16_667
+
+
+def test_documents_without_suspects_are_kept_apart(spark, docs, corpus):
+    from pyspark.sql import functions as F
+
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct("lang").alias("_rest"))
+    shared = spark.sparkContext.broadcast(line_dedup.twice_filter(texts.select("_text"), 2**16, 20))
+    kinds = "_id bigint, _text string, _rest struct<lang:string>"
+    with_, without = ([r._id for r in texts.mapInArrow(line_dedup._part(shared, 20, which), kinds).collect()] for which in (True, False))
+    losing = {i for i, x in brute(corpus).items() if x[1]}
+    assert sorted(with_ + without) == sorted(r[0] for r in corpus) and losing <= set(with_) and len(without) > 10
+
+
+def test_filter_size(spark, docs, corpus):
+    lines = sum(len((t or "").split("\n")) for _, t, *_ in corpus)
+    assert line_dedup.filter_size(docs, "text", 2**29) == max(2**16, 1 << (16 * lines).bit_length())
+    assert line_dedup.filter_size(docs, "text", 2**10) == 2**10

@@ -75,6 +75,44 @@ def test_grams():
     assert {text(k): int(n) for k, n in zip(keys, counts, strict=True)} == {"a": 2, "b": 1, "x": 1, " a": 1, "ab": 1, "ba": 1, "a ": 1, " x": 1, "x ": 1, " ab": 1, "aba": 1, "ba ": 1, "a x": 1, " x ": 1}
 
 
+def plain_grams(text):
+    t = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    t = f" {' '.join(t.split())} "
+    return Counter(g for n in (1, 2, 3) for i in range(len(t) - n + 1) if (g := t[i : i + n]).strip() and (n > 1 or g != " ")) if t.strip() else Counter()
+
+
+def rank_list(counts):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], [0] * (3 - len(x[0])) + [ord(c) for c in x[0]]))][: langid.PROFILE]
+
+
+def test_language_against_brute_force(docs, corpus):
+    learned = {}
+    for _, t, lang, *_ in corpus:
+        if lang:
+            learned.setdefault(lang, Counter()).update(plain_grams(t))
+    known = {lang: {g: k for k, g in enumerate(rank_list(c))} for lang, c in learned.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.profiles(docs)).collect()}
+    for i, t, *_ in corpus:
+        own = rank_list(plain_grams(t))
+        far = {lang: sum(min(langid.PROFILE, abs(ranks[g] - k)) if g in ranks else langid.PROFILE for k, g in enumerate(own)) for lang, ranks in known.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i] == (("und", 0.0) if not own else (best, pytest.approx(1 - far[best] / (langid.PROFILE * len(own)))))
+
+
+def test_scores_are_sums_of_looked_up_bins(docs, corpus):
+    labels = docs.sparkSession.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(docs, model).collect()}
+    assert model.pairs and any(t.any() for t in model.mains)
+    for i, t, *_ in corpus:
+        x = quality.features((t or "").encode())
+        bins = [sum(e <= v for e in edges) for edges, v in zip(model.edges, x, strict=True)]
+        z = model.start + sum(float(m[b]) for m, b in zip(model.mains, bins, strict=True))
+        z += sum(float(t[model.coarse[a][bins[a]], model.coarse[b][bins[b]]]) for (a, b), t in zip(model.pairs, model.tables, strict=True))
+        want = 1 / (1 + np.exp(-z))
+        assert got[i] == (pytest.approx(want, abs=1e-9), int(got[i][0] >= 0.5))
+
+
 def test_imatch(docs, corpus):
     texts = {i: t or "" for i, t, *_ in corpus}
     rows = {r.doc_id: r for r in imatch.fingerprint_edits(docs, ranges=7).collect()}

@@ -87,3 +87,11 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(1000, 999), (999, 1000), (4, 4)], "u long, v long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {1000: 999}
+
+
+def test_long_texts_and_other_distances(spark):
+    for n in (65_536 + 2, 65_536 + 3, 140_000):
+        text = " ".join(f"w{i % 50_000 * i}" for i in range(n))
+        assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+    with pytest.raises(ValueError, match="distance 2"):
+        simhash.links(spark.createDataFrame([(1, 1)], "rep long, fp long"), 3)
