@@ -212,13 +212,13 @@ def ext15(v):
     return extract.map_frames(v.cells, v.world_axes, boxes(v), frames(v)).select("grid_id", "t", "pixel", "value", "label")
 
 
-@query("ext16_tile_grid", (), """
-WITH z AS (SELECT r_regionkey + 1 AS zoom FROM region WHERE r_regionkey < 4),
-t AS (SELECT zoom, 360.0::DOUBLE / pow(2, zoom) AS span, unnest(range(CAST(pow(2, zoom - 1) AS BIGINT))) AS tile_row FROM z),
+@query("ext16_tile_grid", ("layers",), """
+WITH z AS (SELECT layer_id, unnest([1, 2]) AS zoom FROM layers),
+t AS (SELECT layer_id, zoom, 360.0::DOUBLE / pow(2, zoom) AS span, unnest(range(CAST(pow(2, zoom - 1) AS BIGINT))) AS tile_row FROM z),
 u AS (SELECT *, unnest(range(CAST(pow(2, zoom) AS BIGINT))) AS tile_col FROM t)
-SELECT CAST(zoom AS INT) AS zoom, CAST(tile_row AS INT) AS tile_row, CAST(tile_col AS INT) AS tile_col, tile_col * span - 180 AS min_x, tile_row * span - 90 AS min_y, tile_col * span - 180 + span AS max_x, tile_row * span - 90 + span AS max_y FROM u""")
+SELECT layer_id, CAST(zoom AS INT) AS zoom, CAST(tile_row AS INT) AS tile_row, CAST(tile_col AS INT) AS tile_col, tile_col * span - 180 AS min_x, tile_row * span - 90 AS min_y, tile_col * span - 180 + span AS max_x, tile_row * span - 90 + span AS max_y FROM u""")
 def ext16a(v):
-    return extract.tile_grid(v.table("region").filter("r_regionkey = 0").select("r_regionkey"), (1, 2, 3, 4)).drop("r_regionkey")
+    return extract.tile_grid(v.layers.select("layer_id"), (1, 2))
 
 
 @query("ext16_tile_pyramid", ("cells",), """
