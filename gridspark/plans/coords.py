@@ -160,17 +160,17 @@ def geo14(v):
 
 
 @query("geo15_transform_crs", ("points",), """
-SELECT point_id, round(radians(x) * 6378137.0, 4) AS mx, round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0, 4) AS my,
+SELECT point_id, round(radians(x) * 6378137.0, 4) AS mx, CASE WHEN y > -90 THEN round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0, 4) END AS my,
        round(2 * 6371228.0 * sin(pi() / 4 - radians(y) / 2) * sin(radians(x)), 4) AS nx, round(-2 * 6371228.0 * sin(pi() / 4 - radians(y) / 2) * cos(radians(x)), 4) AS ny,
-       round(x, 6) AS back_x, round(y, 6) AS back_y FROM points WHERE abs(y) < 85 AND x > -180""")
+       round(x, 4) AS back_x, round(y, 4) AS back_y FROM points""")
 def geo15(v):
-    p = v.points.filter((F.abs("y") < 85) & (F.col("x") > -180)).select("point_id", "x", "y")
+    p = v.points.select("point_id", "x", "y")
     out = p
     for crs, a in (("EPSG:3857", "m"), ("EPSG:3408", "n")):
         px, py = geo.project(F.col("x"), F.col("y"), crs)
         out = out.withColumns({a + "x": px, a + "y": py})
     back = coords.transform_crs(out.withColumns({"back_x": F.col("nx"), "back_y": F.col("ny")}), "EPSG:3408", "CRS:84", "back_x", "back_y")
-    return back.select("point_id", *[F.round(c, 4).alias(c) for c in ("mx", "my", "nx", "ny")], F.round("back_x", 6).alias("back_x"), F.round("back_y", 6).alias("back_y"))
+    return back.select("point_id", *[F.round(c, 4).alias(c) for c in ("mx", "my", "nx", "ny")], F.round("back_x", 4).alias("back_x"), F.round("back_y", 4).alias("back_y"))
 
 
 @query("geo16_polar_cell_index", ("points",), """
@@ -181,12 +181,12 @@ def geo16(v):
 
 
 @query("geo17_projected_nearest", ("points",), """
-WITH m AS (SELECT point_id, radians(x) * 6378137.0 AS mx, ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0 AS my FROM points WHERE abs(y) < 85)
+WITH m AS (SELECT point_id, radians(x) * 6378137.0 AS mx, CASE WHEN y > -90 THEN ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0 END AS my FROM points)
 SELECT point_id, CAST(CASE WHEN mx BETWEEN -2.05e7 AND 2.05e7 THEN greatest(0, least(40, floor((mx + 2e7) / 1e6 + 0.5))) END AS INT) AS i, CAST(CASE WHEN my BETWEEN -1.05e7 AND 1.05e7 THEN greatest(0, least(20, floor((my + 1e7) / 1e6 + 0.5))) END AS INT) AS j FROM m""")
 def geo17(v):
     one = v.table("region").limit(1)
     axes = one.select(F.lit("m").alias("grid_id"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(f).alias("first"), F.lit(1e6).alias("spacing"), F.lit(n).alias("size"), F.lit(False).alias("is_longitude")) for a, f, n in (("x", -2e7, 41), ("y", -1e7, 21))])).alias("a")).select("grid_id", "a.*")
-    points = v.points.filter(F.abs("y") < 85).withColumn("grid_id", F.lit("m"))
+    points = v.points.withColumn("grid_id", F.lit("m"))
     return coords.projected_nearest(points, axes, "EPSG:3857").select("point_id", "i", "j")
 
 
