@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, imatch, langid, line_dedup, mixing, quality, sharding, simhash, substring_dedup, topk_search
+from gridspark.llm import alignment, bpe, imatch, langid, line_dedup, mixing, packing, quality, repair, sharding, simhash, substring_dedup, topk_search
 from gridspark.llm._shared import held_out, short_batches
 from gridspark.llm._shared import table as read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +75,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, known).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_topk_search, op4_simhash_neardup, op5_shard_packing, op6_source_mixing, op7_byte_bpe, op8_quality_gam, op9_imatch, op10_language_id)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), present_col="present")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTES))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_topk_search, op4_simhash_neardup, op5_shard_packing, op6_source_mixing, op7_byte_bpe, op8_quality_gam, op9_imatch, op10_language_id, op11_conversation_repair, op12_best_fit_packing, op13_token_alignment)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
