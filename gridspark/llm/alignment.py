@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm._shared import materialize
-from gridspark.llm.segments import Memo, Ragged, flat, split, sums
+from gridspark.llm.segments import Memo, Ragged, flat, gather, split, sums
 
 WIDE = 1 << 15  # ids of the second vocabulary fit below it, those of the first below twice that: a pair is one 31-bit number
 CHUNK = 1 << 16  # bytes of a byte range of a long document
@@ -55,7 +55,8 @@ class Vocabularies:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if len(self.a_bytes) > 2 * WIDE or len(self.b_bytes) > WIDE:
             raise ValueError("vocabularies above 65,536 and 32,768 ids don't fit a pair's number")
-        self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        self.a_raw, self.b_raw = Raw(self.a_bytes), Raw(self.b_bytes)
+        self.a_size, self.b_size = self.a_raw.size, self.b_raw.size
         self.alone = self.b.encode("a ")[-1:]  # a last space, which the tokenizer would not see by itself
 
     def encode_b(self, segments: list[str]) -> list[list[int]]:
@@ -63,21 +64,71 @@ class Vocabularies:
         return [x if s != " " else self.alone for s, x in zip(segments, self.b.encode([s[1:] for s in segments], num_threads=1), strict=True)]
 
 
-def cut(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ends of groups in a, ends of groups in b, linked a, linked b) of tokens that begin and end together.
+def _ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes at which a token of either ends, bytes at which tokens of both end), ascending."""
+    if not len(a_ends) or not len(b_ends):
+        return (b_ends if len(b_ends) else a_ends), a_ends[:0]
+    low, high = min(a_ends[0], b_ends[0]), max(a_ends[-1], b_ends[-1])
+    mark = np.zeros(high - low + 1, np.int8)
+    mark[a_ends - low] = 1
+    mark[b_ends - low] += 2
+    return np.flatnonzero(mark) + low, np.flatnonzero(mark == 3) + low
+
+
+def cut(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of groups in a, ends of groups in b, linked a, linked b, bytes where links end) of tokens that begin and end together.
 
     Between two neighbouring ends of either kind lies one token of each, so there are as many links as ends; a link is
     where two tokens' ranges overlap, and no two tokens overlap in two such places.
     """
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, common, "right"), np.searchsorted(b_ends, common, "right"), a[np.searchsorted(a_ends, ends)], b[np.searchsorted(b_ends, ends)]
+    ends, common = _ends(a_ends, b_ends)
+    return np.searchsorted(a_ends, common, "right"), np.searchsorted(b_ends, common, "right"), a[np.searchsorted(a_ends, ends)], b[np.searchsorted(b_ends, ends)], ends
+
+
+class Decimals:
+    """The numbers below n as text, each with a comma after it, in one array."""
+
+    def __init__(self, n: int) -> None:
+        texts = [b"%d," % i for i in range(n)]
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.start, self.signs = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(texts), np.uint8)
+
+
+_decimals: list[Decimals] = []
+
+
+def group_texts(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(groups "a1,a2|b1;" of tokens cut after these numbers of tokens, one after the other; where each ends)."""
+    if not _decimals:
+        _decimals.append(Decimals(2 * WIDE))
+    d, n_a, n_b = _decimals[0], np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
+    # a token's place among all, when the second vocabulary's tokens follow the first's in each group
+    ids = np.empty(len(a) + len(b), np.int64)
+    ids[np.arange(len(a)) + np.repeat(b_cuts - n_b, n_a)] = a
+    ids[np.arange(len(b)) + np.repeat(a_cuts, n_b)] = b
+    out = gather(d.signs, d.start[ids], d.size[ids]).copy()
+    ends = np.cumsum(d.size[ids])
+    groups = ends[a_cuts + b_cuts - 1] if len(a_cuts) else np.zeros(0, np.int64)
+    out[(ends[a_cuts + b_cuts - n_b - 1] if len(a_cuts) else groups) - 1] = ord("|")
+    out[groups - 1] = ord(";")
+    return out.tobytes(), groups
+
+
+class Raw:
+    """The bytes of a vocabulary's tokens, in one array."""
 
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in tokens], np.int64)
+        self.start, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
 
-def group_texts(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> list[str]:
-    """The groups "a1,a2|b1" of tokens cut after these numbers of tokens."""
-    sa, sb, p, q = list(map(str, a.tolist())), list(map(str, b.tolist())), a_cuts.tolist(), b_cuts.tolist()
-    return [",".join(sa[i:j]) + "|" + ",".join(sb[k:m]) for i, j, k, m in zip([0, *p], p, [0, *q], q, strict=False)]
+    def give(self, ids: np.ndarray, n: np.ndarray, raw: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each segment, n of them, have its bytes."""
+        same = sums(self.size[ids], np.concatenate([[0], np.cumsum(n)])) == size
+        kept = ids[np.repeat(same, n)]
+        want = np.frombuffer(b"".join([r for r, s in zip(raw, same.tolist(), strict=True) if s]), np.uint8)
+        wrong = np.flatnonzero(gather(self.bytes, self.start[kept], self.size[kept]) != want)
+        same[np.repeat(np.flatnonzero(same), size[same])[wrong]] = False
+        return same
 
 
 def _numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,7 +165,7 @@ class Fragment:
 
     left: Stretch
     has_cut: bool
-    groups: list[str]
+    groups: bytes
     n_groups: int
     n_links: int
     keys: np.ndarray
@@ -130,37 +181,36 @@ class Fragment:
             return Fragment(self.left, True, self.groups, self.n_groups, self.n_links, self.keys, self.times, self.right + other.left)
         groups, n, links, keys, times = closed(self.right + other.left)
         found = _merge(np.concatenate([self.keys, keys, other.keys]), np.concatenate([self.times, times, other.times]))
-        texts = [";".join(x) for x in (self.groups, groups, other.groups) if x]
-        return Fragment(self.left, True, [";".join(texts)] if texts else [], self.n_groups + n + other.n_groups, self.n_links + links + other.n_links, *found, other.right)
+        return Fragment(self.left, True, self.groups + groups + other.groups, self.n_groups + n + other.n_groups, self.n_links + links + other.n_links, *found, other.right)
 
 
 def open_fragment(tokens: Stretch) -> Fragment:
     none = np.zeros(0, np.int64)
-    return Fragment(tokens, False, [], 0, 0, none, none, Stretch(none, none, none, none))
+    return Fragment(tokens, False, b"", 0, 0, none, none, Stretch(none, none, none, none))
 
 
-def closed(tokens: Stretch) -> tuple[list[str], int, int, np.ndarray, np.ndarray]:
+def closed(tokens: Stretch) -> tuple[bytes, int, int, np.ndarray, np.ndarray]:
     """(group texts, groups, links, pairs, their links) of tokens that begin and end at a cut."""
-    a_cuts, b_cuts, a, b = cut(*tokens.parts())
-    return group_texts(tokens.a, tokens.b, a_cuts, b_cuts), len(a_cuts), len(a), *np.unique(_numbers(a, b), return_counts=True)
+    a_cuts, b_cuts, a, b, _ = cut(*tokens.parts())
+    return group_texts(tokens.a, tokens.b, a_cuts, b_cuts)[0], len(a_cuts), len(a), *np.unique(_numbers(a, b), return_counts=True)
 
 
 def fragment(tokens: Stretch) -> Fragment:
     """The fragment of a byte range's tokens, whose surroundings are not known: its first cut ends the prefix."""
-    common = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
+    _, common = _ends(tokens.a_ends, tokens.b_ends)
     if not len(common):
         return open_fragment(tokens)
     (i, j), (k, m) = (np.searchsorted(x, common[[0, -1]], "right") for x in (tokens.a_ends, tokens.b_ends))
     return Fragment(tokens.slice(None, i, None, k), True, *closed(tokens.slice(i, j, k, m)), tokens.slice(j, None, m, None))
 
 
-def whole(x: Fragment) -> tuple[list[str], int, int, np.ndarray, np.ndarray]:
+def whole(x: Fragment) -> tuple[bytes, int, int, np.ndarray, np.ndarray]:
     """What ``closed`` says of a document, from the fragment of all its bytes: it begins and ends at a cut."""
     first = closed(x.left)
     if not x.has_cut:
         return first
     found = _merge(np.concatenate([first[3], x.keys]), np.concatenate([first[4], x.times]))
-    return [*first[0], *x.groups], first[1] + x.n_groups, first[2] + x.n_links, *found
+    return first[0] + x.groups, first[1] + x.n_groups, first[2] + x.n_links, *found
 
 
 class _Words:
@@ -171,28 +221,23 @@ class _Words:
         self.a, self.b, self.links, self.groups, self.bad, self.texts = Ragged(np.int32), Ragged(np.int32), Ragged(np.int32), Ragged(np.int8), Ragged(np.int8), []
 
     def add(self, segments: list[str]) -> None:
-        v = self.v
-        (a, n_a), b_lists = v.a.encode(segments), v.encode_b(segments)
-        b, n_b = flat(b_lists)
-        a_at, bad, raw = np.concatenate([[0], np.cumsum(n_a)]).tolist(), np.zeros(len(segments), bool), [s.encode() for s in segments]
-        ids = a.tolist()
-        for k, (r, own) in enumerate(zip(raw, b_lists, strict=True)):
-            bad[k] = b"".join([v.b_bytes[i] for i in own]) != r or b"".join([v.a_bytes[i] for i in ids[a_at[k] : a_at[k + 1]]]) != r
-        if bad.any():
-            keep_a, keep_b = np.repeat(~bad, n_a), np.repeat(~bad, n_b)
-            a, b, n_a, n_b = a[keep_a], b[keep_b], np.where(bad, 0, n_a), np.where(bad, 0, n_b)
-        a_ends, b_ends = np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b])
-        a_cuts, b_cuts, la, lb = cut(a, a_ends, b, b_ends)
+        v, raw = self.v, [s.encode() for s in segments]
+        size = np.array([len(r) for r in raw], np.int64)
+        tokens = [v.a.encode(segments), flat(v.encode_b(segments))]
+        bad = np.zeros(len(segments), bool)
+        for (ids, n), own in zip(tokens, (v.a_raw, v.b_raw), strict=True):
+            bad |= ~own.give(ids, n, raw, size)
+        (a, n_a), (b, n_b) = ((ids[np.repeat(~bad, n)], np.where(bad, 0, n)) for ids, n in tokens) if bad.any() else tokens
+        a_cuts, b_cuts, la, lb, ends = cut(a, np.cumsum(v.a_size[a]), b, np.cumsum(v.b_size[b]))
         # segments end at cuts, so groups and links fall to them in order
-        size = np.where(bad, 0, [len(r) for r in raw])
         n_groups = np.diff(np.searchsorted(a_cuts, np.cumsum(n_a), "right"), prepend=0)
-        n_links = np.diff(np.searchsorted(np.union1d(a_ends, b_ends), np.cumsum(size), "right"), prepend=0)
-        texts, at = group_texts(a, b, a_cuts, b_cuts), np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        self.texts += [";".join(texts[i:j]) for i, j in zip(at, at[1:], strict=False)]
-        one = np.ones(len(segments), np.int64)
-        for table, values, lengths in ((self.a, a, n_a), (self.b, b, n_b), (self.links, _numbers(la, lb), n_links), (self.bad, bad, one)):
+        n_links = np.diff(np.searchsorted(ends, np.cumsum(np.where(bad, 0, size)), "right"), prepend=0)
+        text, text_ends = group_texts(a, b, a_cuts, b_cuts)
+        at = np.concatenate([[0], text_ends])[np.concatenate([[0], np.cumsum(n_groups)])].tolist()
+        self.texts += [text[i:j] for i, j in zip(at, at[1:], strict=False)]
+        for table, values, lengths in ((self.a, a, n_a), (self.b, b, n_b), (self.links, _numbers(la, lb), n_links), (self.bad, bad, np.ones(len(segments), np.int64))):
             table.add(values, lengths)
-        self.groups.add(np.zeros(len(texts), np.int8), n_groups)
+        self.groups.add(np.zeros(int(n_groups.sum()), np.int8), n_groups)
 
 
 _ready: dict[tuple[str, str], Memo] = {}
@@ -201,7 +246,7 @@ _ready: dict[tuple[str, str], Memo] = {}
 def _memo(a_path: str, b_path: str) -> Memo:
     if (a_path, b_path) not in _ready:
         v = Vocabularies(a_path, b_path)
-        _ready[a_path, b_path] = Memo(lambda: _Words(v), 120_000, 4_000_000)
+        _ready[a_path, b_path] = Memo(lambda: _Words(v), 250_000, 4_000_000)
     return _ready[a_path, b_path]
 
 
@@ -216,8 +261,9 @@ def _rows(rows: list[dict], more: list[tuple[str, pa.DataType, list]] = ()) -> p
     return pa.RecordBatch.from_arrays([pa.array(v, k) if not isinstance(v, pa.Array) else v for _, k, v in fields], names=[n for n, _, _ in fields])
 
 
-def _doc(groups: str, n: tuple[int, int, int, int], keep: bool) -> dict:
-    return {"_kind": "doc", **dict(zip(("n_a", "n_b", "n_groups", "n_links"), n, strict=True)), "groups": groups if keep else None, "groups_sha256": hashlib.sha256(groups.encode()).hexdigest() if n[0] else ""}
+def _doc(groups: bytes, n: tuple[int, int, int, int], keep: bool) -> dict:
+    """groups: each with a semicolon after it, which the last one loses."""
+    return {"_kind": "doc", **dict(zip(("n_a", "n_b", "n_groups", "n_links"), n, strict=True)), "groups": groups[:-1].decode() if keep else None, "groups_sha256": hashlib.sha256(groups[:-1]).hexdigest() if n[0] else ""}
 
 
 def _pairs(block: int, docs: np.ndarray, keys: np.ndarray, times: np.ndarray) -> dict:
@@ -253,9 +299,9 @@ def _align(a_path: str, b_path: str, chunk: int, keep: bool):
             for i, (p, q) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 row = block + i
                 if bad[i] or p == q:
-                    rows.append({**_doc("", (0, 0, 0, 0), keep), "row": row})
+                    rows.append({**_doc(b"", (0, 0, 0, 0), keep), "row": row})
                 elif not long[i]:
-                    rows.append({**_doc(";".join([words.texts[s] for s in slots[p:q]]), (int(n_a[i]), int(n_b[i]), int(n_groups[i]), int(n_links[i])), keep), "row": row})
+                    rows.append({**_doc(b"".join([words.texts[s] for s in slots[p:q]]), (int(n_a[i]), int(n_b[i]), int(n_groups[i]), int(n_links[i])), keep), "row": row})
                 else:
                     (a, _), (b, _) = words.a.of(slot[p:q]), words.b.of(slot[p:q])
                     a_ends, b_ends = np.cumsum(words.v.a_size[a]), np.cumsum(words.v.b_size[b])
@@ -278,7 +324,7 @@ def _stretch(a: bytes, b: bytes) -> Stretch:
 
 
 #: a fragment as a row; tokens with their ends are one binary
-FRAGMENT = "row long, chunk int, n_a long, n_b long, left_a binary, left_b binary, has_cut boolean, groups string, n_groups long, n_links long, keys binary, times binary, right_a binary, right_b binary"
+FRAGMENT = "row long, chunk int, n_a long, n_b long, left_a binary, left_b binary, has_cut boolean, groups binary, n_groups long, n_links long, keys binary, times binary, right_a binary, right_b binary"
 
 
 def _sent(x: Stretch) -> tuple[bytes, bytes]:
@@ -288,11 +334,11 @@ def _sent(x: Stretch) -> tuple[bytes, bytes]:
 def _fragment_row(head: tuple, x: Fragment) -> dict:
     (la, lb), (ra, rb) = _sent(x.left), _sent(x.right)
     names = [f.split()[0] for f in FRAGMENT.split(", ")]
-    return dict(zip(names, (*head, la, lb, x.has_cut, ";".join(x.groups), x.n_groups, x.n_links, x.keys.astype("<i8").tobytes(), x.times.astype("<i8").tobytes(), ra, rb), strict=True))
+    return dict(zip(names, (*head, la, lb, x.has_cut, x.groups, x.n_groups, x.n_links, x.keys.astype("<i8").tobytes(), x.times.astype("<i8").tobytes(), ra, rb), strict=True))
 
 
 def _fragment_of(r: dict) -> Fragment:
-    return Fragment(_stretch(r["left_a"], r["left_b"]), r["has_cut"], [r["groups"]] if r["groups"] else [], r["n_groups"], r["n_links"], np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["times"], "<i8"), _stretch(r["right_a"], r["right_b"]))
+    return Fragment(_stretch(r["left_a"], r["left_b"]), r["has_cut"], r["groups"], r["n_groups"], r["n_links"], np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["times"], "<i8"), _stretch(r["right_a"], r["right_b"]))
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
@@ -321,7 +367,7 @@ def _close(keep: bool):
         for batch in batches:
             for r in batch.to_pylist():
                 groups, n_groups, n_links, keys, times = whole(_fragment_of(r))
-                doc = _doc(";".join(groups), (r["n_a"], r["n_b"], n_groups, n_links), keep)
+                doc = _doc(groups, (r["n_a"], r["n_b"], n_groups, n_links), keep)
                 # its pairs are a block of their own, of one document
                 yield _rows([{**doc, "row": r["row"]}, _pairs(r["row"], np.zeros(len(keys), np.int64), keys, times)])
 

@@ -8,11 +8,13 @@ such a border; so a text's tokens are its segments' tokens, one after the other,
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 BYTE = 0x20
+ADDED = 20_000  # segments encoded together
 
 
 def split(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
@@ -72,7 +74,8 @@ class Memo:
         if new:
             first = len(known)
             self.held += sum(map(len, new))
-            self.tables.add(new)
+            for k in range(0, len(new), ADDED):
+                self.tables.add(new[k : k + ADDED])
             known.update(zip(new, range(first, first + len(new)), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
@@ -105,4 +108,4 @@ class Ragged:
 
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for ids in lists for x in ids), np.int64, int(lengths.sum())), lengths
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), lengths
