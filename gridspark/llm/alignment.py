@@ -29,7 +29,9 @@ WIDE = 1 << 15  # ids of the second vocabulary fit below it, those of the first
 CHUNK = 1 << 16  # bytes of a byte range of a long document
 LEAVES = 8  # fragments composed together in a round
 PAIRS = 1_000_000  # pairs in a bucket
-BLOCKS = 64  # blocks that meet a bucket together
+SLICE = 500  # documents aligned at once
+BLOCK = 400_000  # pairs, of one document each, that are counted together before they are shuffled
+BLOCKS = 4  # whole blocks' worth of pairs that meet a bucket together
 
 
 class Vocabularies:
@@ -246,7 +248,7 @@ _ready: dict[tuple[str, str], Memo] = {}
 def _memo(a_path: str, b_path: str) -> Memo:
     if (a_path, b_path) not in _ready:
         v = Vocabularies(a_path, b_path)
-        _ready[a_path, b_path] = Memo(lambda: _Words(v), 250_000, 4_000_000)
+        _ready[a_path, b_path] = Memo(lambda: _Words(v), 120_000, 4_000_000)
     return _ready[a_path, b_path]
 
 
@@ -278,8 +280,9 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _align(a_path: str, b_path: str, chunk: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, block = _memo(a_path, b_path), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        memo, first = _memo(a_path, b_path), TaskContext.get().partitionId() << 40
+        block, held = first, []  # a block's first row, and the pairs of its documents so far
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             texts = batch.column("_text")
             distinct, index, cuts = split(texts)
             slot = memo.slots(distinct)[index]
@@ -294,10 +297,11 @@ def _align(a_path: str, b_path: str, chunk: int, keep: bool):
             owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(cuts))[short], length)
             n_links = np.bincount(owner, minlength=len(texts))
             pairs, times = _runs(np.sort(owner << 31 | linked))
-            rows, ids = [_pairs(block, pairs >> 31, pairs & (1 << 31) - 1, times)], [None]
+            held.append(((pairs >> 31) + (first - block), pairs & (1 << 31) - 1, times))
+            rows, ids = [], []
             slots, names = slot.tolist(), batch.column("_id")
             for i, (p, q) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                row = block + i
+                row = first + i
                 if bad[i] or p == q:
                     rows.append({**_doc(b"", (0, 0, 0, 0), keep), "row": row})
                 elif not long[i]:
@@ -312,8 +316,15 @@ def _align(a_path: str, b_path: str, chunk: int, keep: bool):
                         sent = _sent(Stretch(a[s:t], a_ends[s:t], b[u:w], b_ends[u:w]))
                         rows.append({"_kind": "chunk", "row": row, "chunk": k, "n_a": int(n_a[i]), "n_b": int(n_b[i]), "docs": sent[0], "keys": sent[1]})
                 ids += [i] * (len(rows) - len(ids))
-            block += len(texts)
+            first += len(texts)
+            if sum(len(x[0]) for x in held) >= BLOCK:
+                rows.append(_pairs(block, *map(np.concatenate, zip(*held, strict=True))))
+                ids.append(None)
+                block, held = first, []
             yield _rows(rows, [("_id", names.type, names.take(pa.array(ids, pa.int64())))])
+            kind = names.type
+        if held:
+            yield _rows([_pairs(block, *map(np.concatenate, zip(*held, strict=True)))], [("_id", kind, [None])])
 
     return run
 
@@ -465,7 +476,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     blocks = made.filter("_kind = 'block'").select("block", "docs", "keys", "times").unionByName(long.filter("_kind = 'block'").select("block", "docs", "keys", "times"))
     counts = materialize(blocks.select("keys").mapInArrow(_count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")), "counts")
     buckets = max(1, -(-counts.count() // pairs_per_bucket))
-    groups = max(1, -(-blocks.count() // BLOCKS))
+    groups = max(1, -(-blocks.count() // (BLOCKS * buckets)))
     shelves = counts.mapInArrow(_with_bucket(buckets), "pair int, n long, bucket long").groupBy("bucket").applyInArrow(_shelve, "bucket long, pairs binary, counts binary, best binary")
     shelves = shelves.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
     dealt = blocks.mapInArrow(_deal(buckets, groups), "bucket long, part long, block long, docs binary, keys binary, times binary")
