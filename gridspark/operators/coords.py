@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import geo
+from gridspark.operators import tiles
 
 
 def axis_extent(axes: DataFrame) -> DataFrame:
@@ -165,23 +166,13 @@ def normalise_bbox(df: DataFrame) -> DataFrame:
     return out
 
 
-def intersect_bbox(a: DataFrame, b: DataFrame, cell: float = 30.0) -> DataFrame:
+def intersect_bbox(a: DataFrame, b: DataFrame) -> DataFrame:
     """Every pair of boxes of a (a_id) and b (b_id) that overlap, with the intersection.
 
-    Both sides are dealt to the cells of a coarse grid that they touch and joined there; a pair is reported in the cell
-    that holds its intersection's lower corner, so no pair comes twice and no side is compared with all of the other.
+    Boxes meet on tiles of their own size (see tiles.overlaps), so that many small boxes in one place don't meet all others
+    there, and a box of the whole globe isn't cut into small tiles.
     """
-
-    def dealt(df: DataFrame, p: str) -> DataFrame:
-        run = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-        out = df.select(f"{p}_id", *[F.col(c).alias(f"{p}_{c}") for c in ("min_x", "min_y", "max_x", "max_y")], F.explode(run("min_x", "max_x")).alias("cx"), run("min_y", "max_y").alias("cys"))
-        return out.withColumn("cy", F.explode("cys")).drop("cys")
-
-    low = {c: F.greatest(f"a_{c}", f"b_{c}") for c in ("min_x", "min_y")}
-    high = {c: F.least(f"a_{c}", f"b_{c}") for c in ("max_x", "max_y")}
-    pairs = dealt(a, "a").join(dealt(b, "b"), ["cx", "cy"]).select("cx", "cy", "a_id", "b_id", *[v.alias(k) for k, v in (low | high).items()])
-    home = (F.floor(F.col("min_x") / cell) == F.col("cx")) & (F.floor(F.col("min_y") / cell) == F.col("cy"))
-    return pairs.filter((F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y")) & home).drop("cx", "cy")
+    return tiles.overlaps(a, b)
 
 
 def transform_crs(df: DataFrame, source: str, target: str, x: str = "x", y: str = "y") -> DataFrame:

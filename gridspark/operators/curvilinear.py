@@ -6,10 +6,11 @@ Lookups join points and cells on tiles of the globe, so no point is held against
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.geo import constrain_longitude_180
+from gridspark.operators import tiles
 
 
 def harmonise(ref: Column, lon: Column) -> Column:
@@ -32,7 +33,8 @@ def curv_corners(cells: DataFrame) -> DataFrame:
     """(grid_id, ci, cj, lon, lat): the (ni + 1) x (nj + 1) corners of grids of 3 x 3 cells or more.
 
     An inner corner is the mean of the four centres around it (null if one is missing), longitudes harmonised with the
-    first; outer ones follow in a straight line from the two beside them, columns first, then rows.
+    first; outer ones follow in a straight line from the two beside them, columns first, then rows.  Every inner corner is
+    sent to itself and to the outer ones that it decides, so all come from one grouping.
     """
     sent = cells.withColumn("lon", constrain_longitude_180(F.col("lon"))).select("*", _offsets([(1, 1), (0, 1), (1, 0), (0, 0)]))
     role = lambda k, c: F.max(F.when(F.col("o.k") == k, F.col(c)))
@@ -43,14 +45,25 @@ def curv_corners(cells: DataFrame) -> DataFrame:
     sizes = grid_sizes(cells).filter("ni >= 3 and nj >= 3")
     inner = near.join(sizes, "grid_id").filter("ci between 1 and ni - 1 and cj between 1 and nj - 1").select("grid_id", "ni", "nj", "ci", "cj", lon.alias("lon"), lat.alias("lat"))
 
-    def extend(df: DataFrame, along: str, across: str, size: str) -> DataFrame:
-        w = Window.partitionBy("grid_id", across).orderBy(along)
-        ends = df.select("*", *[f(c).over(w).alias(f"{p}_{c}") for p, f in (("next", F.lead), ("last", F.lag)) for c in ("lon", "lat")])
-        first = ends.filter(F.col(along) == 1).withColumns({along: F.lit(0), "lon": F.col("lon") * 2 - F.col("next_lon"), "lat": F.col("lat") * 2 - F.col("next_lat")})
-        final = ends.filter(F.col(along) == F.col(size) - 1).withColumns({along: F.col(size), "lon": F.col("lon") * 2 - F.col("last_lon"), "lat": F.col("lat") * 2 - F.col("last_lat")})
-        return df.unionByName(first.select(df.columns)).unionByName(final.select(df.columns))
+    def reached(c: str, size: str) -> Column:
+        """Where an inner corner is needed along an axis: at its own place, and for the outer corners beside it or one on."""
+        k, n = F.col(c), F.col(size)
+        to = lambda place, far: F.struct(place.cast("int").alias("at"), F.lit(far).alias("far"))
+        places = [(F.lit(True), to(k, 0)), (k == 1, to(F.lit(0), 0)), (k == 2, to(F.lit(0), 1)), (k == n - 1, to(n, 0)), (k == n - 2, to(n, 1))]
+        return F.explode(F.array_compact(F.array(*[F.when(when, place) for when, place in places])))
 
-    return extend(extend(inner, "ci", "cj", "ni"), "cj", "ci", "nj").select("grid_id", "ci", "cj", "lon", "lat")
+    sent = inner.withColumn("x", reached("ci", "ni")).withColumn("y", reached("cj", "nj"))
+    part = lambda c, x, y: F.max(F.when((F.col("x.far") == x) & (F.col("y.far") == y), F.col(c)))
+    parts = [part(c, x, y).alias(f"{c}{x}{y}") for c in ("lon", "lat") for x in (0, 1) for y in (0, 1)]
+    beside = F.max((F.col("x.far") + F.col("y.far") == 0).cast("int")).alias("beside")
+    met = sent.groupBy("grid_id", F.col("x.at").alias("ci"), F.col("y.at").alias("cj")).agg(F.max("ni").alias("ni"), F.max("nj").alias("nj"), beside, *parts).filter("beside = 1")
+    outer = lambda c, size: (F.col(c) == 0) | (F.col(c) == F.col(size))
+
+    def placed(c: str) -> Column:
+        row = [F.when(outer("ci", "ni"), F.col(f"{c}0{y}") * 2 - F.col(f"{c}1{y}")).otherwise(F.col(f"{c}0{y}")) for y in (0, 1)]
+        return F.when(outer("cj", "nj"), row[0] * 2 - row[1]).otherwise(row[0]).alias(c)
+
+    return met.select("grid_id", "ci", "cj", placed("lon"), placed("lat"))
 
 
 def curv_cell_polygons(cells: DataFrame) -> DataFrame:
@@ -99,28 +112,32 @@ def _tile(c: Column, size: Column | float) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def curv_containing(points: DataFrame, polygons: DataFrame, cells_per_tile: float = 2.0) -> DataFrame:
+def curv_tile_index(polygons: DataFrame) -> DataFrame:
+    """(grid_id, level, tx, ty, i, j, centre, x0, y0 ... x3, y3): cells with the tiles of their own size that they touch.
+
+    Made once and kept (see sources.io.write_tile_index), then looked up many times.  Tile columns wrap at the date line.
+    """
+    corners = [f"{c}{k}" for k in range(4) for c in "xy"]
+    dealt = tiles.in_tiles(tiles.with_level(polygons.filter("min_x is not null")))
+    return dealt.select("grid_id", "level", F.pmod("tx", F.pow(F.lit(2.0), "level").cast("long")).alias("tx"), "ty", "i", "j", F.col("lon").alias("centre"), *corners)
+
+
+def curv_containing(points: DataFrame, index: DataFrame) -> DataFrame:
     """points (point_id, grid_id, lon, lat) with i and j of the cell that contains them, null if none does.
 
-    A point on a shared edge belongs to one cell (half-open crossings); of several cells the lowest j, then i.  Both
-    sides are dealt to tiles of ``cells_per_tile`` mean cells of their grid a side, so that a point meets a few cells
-    whatever the resolution; tile columns wrap at the date line.
+    index: of curv_tile_index.  A point on a shared edge belongs to one cell (half-open crossings); of several cells the
+    lowest j, then i.  A point looks at one tile on each level that its grid's cells have, mostly one or two levels, and
+    meets a few cells there whatever the resolution.
     """
-    # a whole number of tiles around the globe, so that they wrap
-    side = F.greatest(F.avg(F.col("max_x") - F.col("min_x")), F.avg(F.col("max_y") - F.col("min_y"))) * cells_per_tile
-    grids = polygons.filter("min_x is not null").groupBy("grid_id").agg(F.greatest(F.lit(1), F.least(F.lit(36_000), F.floor(F.coalesce(F.try_divide(F.lit(360.0), side), F.lit(180.0))))).alias("around"))
-    grids = grids.withColumn("tile", F.lit(360.0) / F.col("around"))
-    around, tile = F.col("around"), F.col("tile")
-    run = lambda a, b: F.sequence(_tile(F.col(a), tile), _tile(F.col(b), tile))
-    dealt = polygons.filter("min_x is not null").join(grids, "grid_id").withColumn("tx", F.explode(run("min_x", "max_x"))).withColumn("ty", F.explode(run("min_y", "max_y"))).withColumn("tx", F.pmod("tx", around)).drop("around", "tile")
-    dealt = dealt.withColumnsRenamed({"lon": "centre", "lat": "centre_lat"})
-    own = points.join(grids, "grid_id").withColumns({"tx": F.pmod(_tile(constrain_longitude_180(F.col("lon")), tile), around), "ty": _tile(F.col("lat"), tile)}).drop("around", "tile")
+    own = points.withColumns({"level": F.lit(tiles.FINEST), "at": constrain_longitude_180(F.col("lon"))})
+    own = tiles.at_levels(own, index, ("grid_id",))
+    own = own.withColumns({"tx": F.pmod(tiles.tile(F.col("at"), F.col("level")), F.pow(F.lit(2.0), "level").cast("long")), "ty": tiles.tile(F.col("lat"), F.col("level"))})
     x, y = harmonise(F.col("centre"), F.col("lon")), F.col("lat")
     crossings = F.lit(0)
     for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)):
         xa, ya, xb, yb = F.col(f"x{a}"), F.col(f"y{a}"), F.col(f"x{b}"), F.col(f"y{b}")
         crossings = crossings + F.when(((ya > y) != (yb > y)) & (x < (xb - xa) * F.try_divide(y - ya, yb - ya) + xa), 1).otherwise(0)
-    hits = own.join(dealt, ["grid_id", "tx", "ty"]).filter(crossings % 2 == 1)
+    hits = own.join(index, ["grid_id", "level", "tx", "ty"]).filter(crossings % 2 == 1)
     best = hits.groupBy("point_id").agg(F.min(F.struct("j", "i")).alias("c")).select("point_id", "c.i", "c.j")
     return points.join(best, "point_id", "left")
 
@@ -143,9 +160,13 @@ def curv_nearest(points: DataFrame, cells: DataFrame, max_distance: DataFrame) -
     return points.join(best, "point_id", "left")
 
 
-def curv_range_query(boxes: DataFrame, cells: DataFrame, tile: float = 2.0) -> DataFrame:
-    """(box_id, i, j) of all centres in closed boxes (box_id, grid_id, min_x, min_y, max_x, max_y)."""
-    run = lambda a, b: F.sequence(_tile(F.col(a), tile), _tile(F.col(b), tile))
-    dealt = boxes.filter("min_x <= max_x and min_y <= max_y").withColumn("tx", F.explode(run("min_x", "max_x"))).withColumn("ty", F.explode(run("min_y", "max_y")))
-    centres = cells.withColumns({"tx": _tile(F.col("lon"), tile), "ty": _tile(F.col("lat"), tile)})
-    return dealt.join(centres, ["grid_id", "tx", "ty"]).filter("lon between min_x and max_x and lat between min_y and max_y").select("box_id", "i", "j")
+def curv_range_query(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(box_id, i, j) of all centres in closed boxes (box_id, grid_id, min_x, min_y, max_x, max_y).
+
+    A box touches at most two by two tiles of its own size; a centre goes to one tile on each level that the boxes have.
+    """
+    wanted = tiles.with_level(boxes.filter("min_x <= max_x and min_y <= max_y"))
+    centres = tiles.at_levels(cells.withColumn("level", F.lit(tiles.FINEST)), wanted, ("grid_id",))
+    centres = centres.withColumns({"tx": tiles.tile(F.col("lon"), F.col("level")), "ty": tiles.tile(F.col("lat"), F.col("level"))})
+    met = tiles.in_tiles(wanted).join(centres, ["grid_id", "level", "tx", "ty"])
+    return met.filter("lon between min_x and max_x and lat between min_y and max_y").select("box_id", "i", "j")

@@ -64,26 +64,70 @@ def pixel_map_stats(pixels: DataFrame) -> DataFrame:
     return out.withColumn("box_size", (F.col("max_i") - F.col("min_i") + 1).cast("long") * (F.col("max_j") - F.col("min_j") + 1))
 
 
-def read_horizontal(cells: DataFrame, mapped: DataFrame, keys: tuple[str, ...] = ("layer_id", "t", "z_index")) -> DataFrame:
-    """mapped (layer_id, t, z_index, j, i, ...) with value: null where the cell is missing or outside."""
-    return mapped.join(cells.select(*CELL, "value"), [*keys, "j", "i"], "left")
+def read_horizontal(cells: DataFrame, mapped: DataFrame, keys: tuple[str, ...] = ("layer_id", "t", "z_index"), pairs: DataFrame | None = None) -> DataFrame:
+    """mapped (layer_id, t, z_index, j, i, ...) with value: null where the cell is missing or outside.
+
+    pairs: (layer_id, east_id, north_id) of vector layers, whose value is the magnitude.  Both components are read at the
+    wanted cells and nowhere else: a scalar layer is its own first component and has no second.
+    """
+    own = cells.select(*CELL, "value")
+    if pairs is None:
+        return mapped.join(own, [*keys, "j", "i"], "left")
+    names = pairs.select("layer_id", F.col("east_id").alias("_first"), F.col("north_id").alias("_second"))
+    wanted = mapped.join(names, "layer_id", "left").withColumn("_first", F.coalesce("_first", "layer_id"))
+    place = [*[k for k in keys if k != "layer_id"], "j", "i"]
+    for side in ("_first", "_second"):
+        wanted = wanted.join(own.select(F.col("layer_id").alias(side), *place, F.col("value").alias(side + "_value")), [side, *place], "left")
+    both = vectors.magnitude(wanted, "_first_value", "_second_value")
+    value = F.when(F.col("_second").isNull(), F.col("_first_value")).otherwise(F.col("value"))
+    return both.withColumn("value", value).select(*mapped.columns, "value")
 
 
-def read_single_points(cells: DataFrame, axes: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (layer_id, t, z_index, grid_id, x, y, ...) with i, j and value."""
-    return read_horizontal(cells, point_map(axes, requests))
+LAYERS = 64  # layers named in a filter
 
 
-def read_timeseries(cells: DataFrame, steps: DataFrame, axes: DataFrame, requests: DataFrame) -> DataFrame:
+def within_box(cells: DataFrame, mapped: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """cells (layer_id, t, z_index, j, i, ...) without those outside the box of what is wanted, as a filter of the scan.
+
+    mapped: (layer_id, t, z_index, j, i, ...); pairs: vector layers, whose components are wanted then.  The least and
+    greatest t, z_index, j and i, and the layers if they are few, come from one short job over ``mapped`` and are literals
+    of the plan, so that files and row groups of cells that are stored in the order of write_cells are skipped.
+    """
+    axes = [c for c in ("t", "z_index", "j", "i") if c in mapped.columns]
+    if pairs is not None:
+        names = pairs.select("layer_id", F.explode(F.array("east_id", "north_id")).alias("_part"))
+        mapped = mapped.join(names, "layer_id", "left").withColumn("layer_id", F.coalesce("_part", "layer_id"))
+    few = mapped.select("layer_id").distinct().limit(LAYERS + 1)
+    span = mapped.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in axes for f in (F.min, F.max)]).first()
+    layers = [r.layer_id for r in few.collect()]
+    inside = F.lit(True) if len(layers) > LAYERS else F.col("layer_id").isin(layers)
+    for c in axes:
+        if span[f"min_{c}"] is None:
+            return cells.filter(F.lit(False))
+        inside = inside & (F.col(c) >= F.lit(span[f"min_{c}"])) & (F.col(c) <= F.lit(span[f"max_{c}"]))
+    return cells.filter(inside)
+
+
+def read_single_points(cells: DataFrame, axes: DataFrame, requests: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """requests (layer_id, t, z_index, grid_id, x, y, ...) with i, j and value; pairs as in read_horizontal."""
+    return read_horizontal(cells, point_map(axes, requests), pairs=pairs)
+
+
+def read_timeseries(cells: DataFrame, steps: DataFrame, axes: DataFrame, requests: DataFrame, pairs: DataFrame | None = None, bucket: int = 512) -> DataFrame:
     """(request_id, t, value) for every step of a request's layer; null where missing.
 
-    requests: (request_id, layer_id, z_index, grid_id, x, y).  Requests of one cell share its series, so a popular cell
-    is read once: the series of the distinct cells are joined, then handed to the requests.
+    requests: (request_id, layer_id, z_index, grid_id, x, y); pairs as in read_horizontal.  Requests of one cell share its
+    series, so a popular cell is read once.  A series is kept in pieces of ``bucket`` steps, and requests of a cell meet its
+    pieces one by one, so that neither a long axis nor a popular cell is one row.
     """
     found = point_map(axes, requests)
-    wanted = found.filter("i is not null and j is not null").select("layer_id", "z_index", "j", "i").distinct()
-    series = read_horizontal(cells, wanted.join(steps.select("layer_id", "t"), "layer_id")).groupBy("layer_id", "z_index", "j", "i").agg(F.collect_list(F.struct("t", "value")).alias("series"))
-    inside = found.join(series, ["layer_id", "z_index", "j", "i"]).select("request_id", F.explode("series").alias("s")).select("request_id", "s.t", "s.value")
+    place = ["layer_id", "z_index", "j", "i"]
+    wanted = found.filter("i is not null and j is not null").select(*place).distinct()
+    order = Window.partitionBy("layer_id").orderBy("t")
+    dealt = steps.select("layer_id", "t").withColumn("part", F.floor((F.row_number().over(order) - 1) / bucket).cast("int"))
+    read = read_horizontal(cells, wanted.join(dealt, "layer_id"), pairs=pairs)
+    series = read.groupBy(*place, "part").agg(F.collect_list(F.struct("t", "value")).alias("series"))
+    inside = found.join(series, place).select("request_id", F.explode("series").alias("s")).select("request_id", "s.t", "s.value")
     outside = found.filter("i is null or j is null").join(steps.select("layer_id", "t"), "layer_id").select("request_id", "t", F.lit(None).cast("double").alias("value"))
     return inside.unionByName(outside)
 
@@ -145,8 +189,7 @@ def transect(cells: DataFrame, axes: DataFrame, points: DataFrame, pairs: DataFr
 
     pairs: (layer_id, east_id, north_id) of vector layers, whose value is the magnitude.
     """
-    cells = cells if pairs is None else vectors.with_vectors(cells, pairs)
-    return read_single_points(cells, axes, points)
+    return read_single_points(cells, axes, points, pairs)
 
 
 def vertical_section(cells: DataFrame, z_axis: DataFrame, axes: DataFrame, points: DataFrame) -> DataFrame:
@@ -175,13 +218,12 @@ def feature_info(cells: DataFrame, steps: DataFrame, axes: DataFrame, clicks: Da
     clicks: (request_id, layer_id, z_index, grid_id, px, py, min_x, min_y, max_x, max_y, width, height); pairs: (layer_id,
     east_id, north_id) of vector layers, whose series is the magnitude.  steps has a layer's times, a vector layer's too.
     """
-    cells = cells if pairs is None else vectors.with_vectors(cells, pairs)
     placed = coords.pixel_to_position(clicks).filter("error is null")
     found = point_map(axes, placed).select("request_id", F.col("x").alias("lon"), F.col("y").alias("lat"), "i", "j", "grid_id")
     centre = lambda axis, k: axes.filter(F.col("axis") == axis).select("grid_id", F.col("first").alias("_f" + k), F.col("spacing").alias("_s" + k))
     found = found.join(centre("x", "x"), "grid_id").join(centre("y", "y"), "grid_id")
     found = found.withColumn("cell_x", F.col("_fx") + F.col("i") * F.col("_sx")).withColumn("cell_y", F.col("_fy") + F.col("j") * F.col("_sy"))
-    series = read_timeseries(cells, steps, axes, placed).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("series"))
+    series = read_timeseries(cells, steps, axes, placed, pairs).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("series"))
     return found.join(series, "request_id", "left").select("request_id", "lon", "lat", "i", "j", "cell_x", "cell_y", "series")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.operators import extract, vectors
+from gridspark.operators import extract
 
 DIMENSIONS = ("client_hostname", "client_user_agent", "client_referrer")
 
@@ -20,9 +20,8 @@ def min_max_for_view(cells: DataFrame, axes: DataFrame, requests: DataFrame, pai
 
     pairs: (layer_id, east_id, north_id) of vector layers, whose range is that of the magnitude.
     """
-    cells = cells if pairs is None else vectors.with_vectors(cells, pairs)
     pixels = extract.pixel_map(axes, requests).drop("source_id")
-    read = extract.read_horizontal(cells, pixels.join(requests.select("grid_id", "layer_id", "t", "z_index"), "grid_id"))
+    read = extract.read_horizontal(cells, pixels.join(requests.select("grid_id", "layer_id", "t", "z_index"), "grid_id"), pairs=pairs)
     found = find_min_max(read, ["grid_id"])
     return requests.select("grid_id").join(found, "grid_id", "left")
 
@@ -33,10 +32,9 @@ def estimate_value_range(cells: DataFrame, axes: DataFrame, layers: DataFrame, s
     layers: (layer_id, source_id, t, z_index, min_x, min_y, max_x, max_y); pairs: (layer_id, east_id, north_id) of vector
     layers, whose range is that of the magnitude of both components.
     """
-    cells = cells if pairs is None else vectors.with_vectors(cells, pairs)
     boxes = layers.withColumns({"grid_id": F.col("layer_id"), "width": F.lit(size), "height": F.lit(size)})
     hit = extract.pixel_map(axes, boxes).select(F.col("grid_id").alias("layer_id"), "i", "j").distinct()
-    read = extract.read_horizontal(cells, hit.join(layers.select("layer_id", "t", "z_index"), "layer_id"))
+    read = extract.read_horizontal(cells, hit.join(layers.select("layer_id", "t", "z_index"), "layer_id"), pairs=pairs)
     return layers.select("layer_id").join(find_min_max(read, ["layer_id"]), "layer_id", "left")
 
 

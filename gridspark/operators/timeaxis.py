@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -173,37 +173,59 @@ def regular_runs(steps: DataFrame) -> DataFrame:
 
 
 def _claim(lengths: list[int]) -> tuple[list[int], list[int]]:
-    """(cut at the start, cut at the end) of each run: the longest run still to choose keeps both its borders."""
+    """(cut at the start, cut at the end) of each run: the longest run still to choose keeps both its borders.
+
+    The runs wait in a heap; one that loses a border is put in again with its new length, and old entries are passed over.
+    """
     n = len(lengths)
-    front, back, shared, size = [0] * n, [0] * n, [True] * (n - 1), list(lengths)
-    left = set(range(n))
-    while any(shared) and left:
-        i = max(left, key=lambda k: (size[k], -k))
-        left.discard(i)
-        if i > 0 and shared[i - 1]:
-            back[i - 1], shared[i - 1] = 1, False
-            size[i - 1] -= 1
-        if i < n - 1 and shared[i]:
-            front[i + 1], shared[i] = 1, False
-            size[i + 1] -= 1
+    front, back, shared, size, waits = [0] * n, [0] * n, [True] * (n - 1), list(lengths), [True] * n
+    heap = [(-x, k) for k, x in enumerate(lengths)]
+    heapq.heapify(heap)
+    open_ = n - 1
+    while open_ > 0:
+        x, i = heapq.heappop(heap)
+        if not waits[i] or -x != size[i]:
+            continue
+        waits[i] = False
+        for border, loser, cuts in ((i - 1, i - 1, back), (i, i + 1, front)):
+            if 0 <= border < n - 1 and shared[border]:
+                shared[border], cuts[loser], open_ = False, 1, open_ - 1
+                size[loser] -= 1
+                heapq.heappush(heap, (-size[loser], loser))
     return front, back
 
 
+def settled_borders(runs: DataFrame) -> DataFrame:
+    """runs with ``piece``, ``front`` and ``back``: stretches of an axis whose borders are free of one another.
+
+    A run loses one border at most before it meets its other one, so a border goes to a run that is longer by two, or by one
+    if it is the earlier, whatever the rest of the axis does.  There the axis is cut, and the shorter run loses the border.
+    """
+    along = Window.partitionBy("layer_id").orderBy("run")
+    before, after = F.lag("n").over(along), F.lead("n").over(along)
+    lost_front = F.coalesce(before - 1 >= F.col("n"), F.lit(False))
+    lost_back = F.coalesce(after - 1 > F.col("n"), F.lit(False))
+    own = F.coalesce(F.col("n") - 1 > before, F.lit(False))
+    rows = runs.withColumns({"front": lost_front.cast("int"), "back": lost_back.cast("int"), "_cut": (lost_front | own).cast("int")})
+    return rows.withColumn("piece", F.sum("_cut").over(along)).drop("_cut")
+
+
 def time_ranges(steps: DataFrame) -> DataFrame:
     """(layer_id, times): an axis as "a", "a,b" or "a/b/period" joined by commas.
 
-    The borders are dealt out per layer on the runs alone, a table as short as the axis is regular.
+    The borders are dealt out on the runs alone, a table as short as the axis is regular, one stretch between settled
+    borders at a time, so that an irregular axis is settled by many tasks.
     """
-    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                front, back = _claim([r["n"] for r in row.runs])
-                out += [(row.layer_id, r["run"], r["first"] + f * r["spacing"], r["last"] - b * r["spacing"], r["spacing"], r["n"] - f - b) for r, f, b in zip(row.runs, front, back, strict=True)]
-            yield pd.DataFrame(out, columns=["layer_id", "run", "first", "last", "spacing", "n"])
-
-    runs = regular_runs(steps).groupBy("layer_id").agg(F.sort_array(F.collect_list(F.struct("run", "first", "last", "spacing", "n"))).alias("runs"))
-    settled = runs.mapInPandas(settle, "layer_id string, run long, first long, last long, spacing long, n int").filter("n > 0")
+    def settle(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("run", ignore_index=True)
+        front, back = _claim((frame["n"] - frame["front"] - frame["back"]).tolist())
+        return frame.assign(front=frame["front"] + front, back=frame["back"] + back)
+
+    runs = settled_borders(regular_runs(steps))
+    kinds = "layer_id string, run long, first long, last long, spacing long, n int, front int, back int, piece long"
+    dealt = runs.groupBy("layer_id", "piece").applyInPandas(settle, kinds)
+    step = F.col("spacing")
+    settled = dealt.select("layer_id", "run", (F.col("first") + F.col("front") * step).alias("first"), (F.col("last") - F.col("back") * step).alias("last"), "spacing", (F.col("n") - F.col("front") - F.col("back")).alias("n")).filter("n > 0")
     iso = lambda c: format_iso(F.timestamp_millis(F.col(c)))
     text = F.when(F.col("n") == 1, iso("first")).when(F.col("n") == 2, F.concat(iso("first"), F.lit(","), iso("last"))).otherwise(F.concat_ws("/", iso("first"), iso("last"), format_period(F.col("spacing"))))
     return settled.groupBy("layer_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", text.alias("text")))), lambda s: s["text"]), ",").alias("times"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from gridspark.operators import catalogue, coords, extract
 from gridspark.plans.coords import WORLD_I, WORLD_J
 from gridspark.plans.extract import TRANSECT, WORLD, transect_points
-from gridspark.plans.registry import query
+from gridspark.plans.registry import folder, query
 from gridspark.sources import io
 from gridspark.streaming import usage
 
@@ -190,17 +188,6 @@ def cat11(v):
 # --- sources and sinks: each writes the tables' data to a folder of its own and reads it back ---
 
 
-def folder(spark) -> str:
-    """A new folder that driver and executors share; a session of one process may do without spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/gridspark-{uuid.uuid4().hex}"
-
-
 @query("src1_read_cells", ("cells",), "SELECT layer_id, count(*) AS n, round(sum(value), 2) AS total, CAST(1 AS BIGINT) AS has_source FROM cells GROUP BY layer_id")
 def src1(v):
     out = folder(v.spark)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.operators import curvilinear
-from gridspark.plans.registry import query
+from gridspark.plans.registry import folder, query
+from gridspark.sources import io
 
 
 def c180(x: str) -> str:
@@ -85,7 +86,11 @@ ht AS (SELECT p.point_id, b.i, b.j, {' + '.join(f"CASE WHEN (b.y{a} > p.lat) <>
 best AS (SELECT point_id, min(j * 100000 + i) AS k FROM ht WHERE n % 2 = 1 GROUP BY 1)
 SELECT p.point_id, CAST(k % 100000 AS INT) AS i, CAST(k // 100000 AS INT) AS j FROM curv_points p LEFT JOIN best ON best.point_id = p.point_id""")
 def cur6(v):
-    return curvilinear.curv_containing(v.curv_points, curvilinear.curv_cell_polygons(v.curv_cells)).select("point_id", "i", "j")
+    """The index is written to the shared folder, as it would be kept, and looked up there."""
+    out = folder(v.spark)
+    io.write_tile_index(curvilinear.curv_tile_index(curvilinear.curv_cell_polygons(v.curv_cells)), out)
+    index = v.spark.read.schema("i int, j int, tx long, ty long, centre double, " + ", ".join(f"x{k} double, y{k} double" for k in range(4)) + ", grid_id string, level int").parquet(out)
+    return curvilinear.curv_containing(v.curv_points, index).select("point_id", "i", "j")
 
 
 REACH = 1.5

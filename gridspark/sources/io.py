@@ -119,3 +119,21 @@ def write_tiles(tiles: DataFrame, path: str, files_per_tile_row: bool = True) ->
     """Tile pixels in folders by layer and zoom; a tile's pixels are together in a file."""
     dealt = tiles.repartition("layer_id", "zoom", "tile_row", "tile_col") if files_per_tile_row else tiles
     dealt.write.mode("overwrite").partitionBy("layer_id", "zoom").parquet(path)
+
+
+def write_tile_index(index: DataFrame, path: str) -> None:
+    """A tile index of curvilinear cells as parquet, a folder for each grid and level, neighbouring tiles together.
+
+    A grid is spread over as many files as it needs, each a range of tile rows, so that a lookup in a region reads a few.
+    """
+    order = ["grid_id", "level", "ty", "tx"]
+    index.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("grid_id", "level").parquet(path)
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Cells (layer_id, t, z_index, j, i, value) as parquet, a folder for each layer, neighbours in time, level and place together.
+
+    So a reader that asks for a box (see extract.within_box) skips what lies outside it.
+    """
+    order = ["layer_id", "t", "z_index", "j", "i"]
+    cells.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("layer_id").parquet(path)

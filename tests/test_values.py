@@ -244,5 +244,5 @@ def test_containing_cells_of_fine_and_coarse_grids(spark):
     rows = [(g, i, j, -179.0 + step * i, -60.0 + step * j) for g, step in (("fine", 0.05), ("coarse", 11.0)) for i in range(12) for j in range(8)]
     grid = spark.createDataFrame(rows, "grid_id string, i int, j int, lon double, lat double")
     at = spark.createDataFrame([(k, g, -179.0 + step * x, -60.0 + step * y) for k, (g, step, x, y) in enumerate((g, s, x, y) for g, s in (("fine", 0.05), ("coarse", 11.0)) for x in (0.2, 3.4, 10.9) for y in (0.3, 6.6))], "point_id long, grid_id string, lon double, lat double")
-    got = {r.point_id: (r.i, r.j) for r in curvilinear.curv_containing(at, curvilinear.curv_cell_polygons(grid)).collect()}
+    got = {r.point_id: (r.i, r.j) for r in curvilinear.curv_containing(at, curvilinear.curv_tile_index(curvilinear.curv_cell_polygons(grid))).collect()}
     assert [got[k] for k in range(12)] == [(x, y) for _ in range(2) for x in (0, 3, 11) for y in (0, 7)]
