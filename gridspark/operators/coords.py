@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,19 +127,40 @@ def grid_coordinates(index: Column, low: list[int], high: list[int]) -> list[Col
     return out[::-1]
 
 
-def order_grid_coordinates(df: DataFrame, col: str) -> DataFrame:
+SAMPLED = 20  # coordinates looked at for each range
+
+
+def order_grid_coordinates(df: DataFrame, col: str, per_range: int = 500_000, most: int = 512) -> DataFrame:
     """df with rank: fewer dimensions first, then by each coordinate; equal coordinates share a rank.
 
-    Ranks are counted over the distinct coordinates: within a number of dimensions and a first coordinate, and shifted by
-    all that come before, so that only the table of first coordinates is ordered as a whole.
+    The distinct coordinates are cut into ranges of about ``per_range`` (``most`` ranges at most) by the quantiles of a
+    sample, counted by range, and numbered within their range, so that no task orders them all.  The driver holds SAMPLED
+    coordinates a range.
     """
-    distinct = df.select(col).distinct().withColumns({"_size": F.size(col), "_first": F.try_element_at(F.col(col), F.lit(1))})
-    group = ["_size", "_first"]
-    ranked = distinct.withColumn("_own", F.row_number().over(Window.partitionBy(*group).orderBy(col)))
-    before = F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1))
-    shift = distinct.groupBy(*group).agg(F.count("*").alias("_n")).select(F.col("_size").alias("_s"), F.col("_first").alias("_f"), F.coalesce(before, F.lit(0)).alias("_before"))
-    found = ranked.join(shift, (F.col("_size") == F.col("_s")) & F.col("_first").eqNullSafe(F.col("_f")))
-    return df.join(found.select(col, (F.col("_before") + F.col("_own")).cast("int").alias("rank")), col)
+    distinct = df.select(F.col(col).alias("_c")).distinct()
+    ranges = min(most, -(-distinct.count() // per_range)) if not df.isEmpty() else 1
+    bounds = _range_bounds(distinct, ranges) if ranges > 1 else []
+    kind = dict(distinct.dtypes)["_c"]
+    size, c = F.size("_c"), F.col("_c")
+    before = F.lit(0)
+    if bounds:
+        listed = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")
+        before = F.size(F.filter(listed, lambda b: (size > F.size(b)) | ((size == F.size(b)) & (c > b))))
+    placed = distinct.withColumn("_range", before)
+    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()} if bounds else {}
+    shift = F.lit(0).cast("long")
+    for k in sorted(counts, reverse=True):
+        shift = F.when(F.col("_range") == k, F.lit(sum(n for j, n in counts.items() if j < k)).cast("long")).otherwise(shift)
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(size, c))
+    ranked = placed.select("_c", (own + shift).cast("int").alias("rank"))
+    return df.join(ranked, df[col].eqNullSafe(ranked["_c"])).drop("_c")
+
+
+def _range_bounds(distinct: DataFrame, ranges: int) -> list:
+    """Coordinates that cut the distinct ones into about equal ranges, ascending."""
+    share = min(1.0, SAMPLED * ranges / max(1, distinct.count()))
+    seen = sorted((r[0] for r in distinct.sample(share, seed=1).filter("_c is not null").collect()), key=lambda c: (len(c), c))
+    return [seen[len(seen) * k // ranges] for k in range(1, ranges)] if seen else []
 
 
 def parse_bbox(df: DataFrame, text: str = "bbox", lon_first: Column | None = None) -> DataFrame:

@@ -24,6 +24,18 @@ def tile(c: Column, level: Column) -> Column:
     return F.floor(c * F.pow(F.lit(2.0), level) / 360).cast("long")
 
 
+def morton(x: Column, y: Column) -> Column:
+    """The place of a tile along a curve that keeps neighbours together: the bits of x and y in turn, up to 2^30 tiles."""
+    def spread(c: Column) -> Column:
+        c = c.cast("long")
+        # fixed values: shifts, and the masks of every other bit, pair, group of four ... that stay
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
 def with_level(df: DataFrame) -> DataFrame:
     """Boxes (min_x, min_y, max_x, max_y) with their own level."""
     return df.withColumn("level", level_of(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))

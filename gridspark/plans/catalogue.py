@@ -13,6 +13,7 @@ from gridspark.operators import catalogue, coords, extract
 from gridspark.plans.coords import WORLD_I, WORLD_J
 from gridspark.plans.extract import TRANSECT, WORLD, transect_points
 from gridspark.plans.registry import folder, query
+from gridspark.plans.timeaxis import TIME_RANGES
 from gridspark.sources import io
 from gridspark.streaming import usage
 
@@ -99,20 +100,13 @@ def cat6(v):
     return catalogue.capabilities_table(layers, v.datasets, v.z_axis, steps, "1996-06-15", verbose=True)
 
 
-@query("cat6_compressed_times", ("cells",), """
-WITH y AS (SELECT DISTINCT layer_id, t FROM cells)
-SELECT layer_id, count(*) AS instants FROM y GROUP BY 1""")
+@query("cat6_compressed_times", ("cells", "z_axis"), "WITH RECURSIVE " + TIME_RANGES.replace("{steps}", "(SELECT DISTINCT layer_id, t FROM cells) AS s").replace("SELECT layer_id, string_agg", "SELECT concat('ds2/', layer_id) AS name, string_agg"))
 def cat6c(v):
-    """The time strings of the capabilities in their short form, opened again: runs have the same instants as the axis."""
+    """The time strings of the capabilities in their short form."""
     steps = v.cells.select("layer_id", "t").distinct()
     layers = steps.select("layer_id").distinct().select(F.lit("ds2").alias("dataset_id"), "layer_id", F.lit("title").alias("title"), *[F.lit(0.0).alias(k) for k in ("west", "east", "south", "north")])
     datasets = v.datasets.filter("dataset_id = 'ds2'").withColumns({"disabled": F.lit(False), "state": F.lit("READY")})
-    table = catalogue.capabilities_table(layers, datasets, v.z_axis, steps, "1996-06-15").select(F.substring_index("name", "/", -1).alias("layer_id"), F.explode(F.split("times", ",")).alias("run"))
-    ends = F.split("run", "/")
-    day = lambda k: F.to_date(F.substring(F.try_element_at(ends, F.lit(k)), 1, 10))
-    period = F.regexp_extract(F.try_element_at(ends, F.lit(3)), r"^P(\d+)D$", 1).try_cast("int")
-    n = F.when(F.size(ends) == 3, F.datediff(day(2), day(1)) / period + 1).otherwise(1).cast("long")
-    return table.select("layer_id", n.alias("n")).groupBy("layer_id").agg(F.sum("n").alias("instants"))
+    return catalogue.capabilities_table(layers, datasets, v.z_axis, steps, "1996-06-15").select("name", "times")
 
 
 @query("cat6_style_rows", ("layers",), """
@@ -124,16 +118,29 @@ def cat6b(v):
 
 
 @query("cat7_layer_details", ("z_axis", "cells"), """
-WITH s AS (SELECT layer_id, count(DISTINCT t) AS days FROM cells GROUP BY 1), z AS (SELECT layer_id, count(*) AS levels, any_value(units) AS units FROM z_axis GROUP BY 1)
-SELECT layer_id, 'm/s' AS units, z.units AS z_units, levels, days, '1995-01-01T00:00:00.000Z' AS nearest, 'ISO8601' AS time_units, CAST(5 AS BIGINT) AS palettes FROM s JOIN z USING (layer_id)""")
+WITH s AS (SELECT DISTINCT layer_id, t FROM cells),
+d AS (SELECT layer_id, string_agg(CAST(year(t) AS VARCHAR) || '/' || CAST(month(t) - 1 AS VARCHAR) || '/' || CAST(day(t) AS VARCHAR), ',' ORDER BY t) AS days,
+             strftime(arg_min(t, {'d': abs(epoch_us(CAST(t AS TIMESTAMP)) - epoch_us(TIMESTAMP '1995-03-01')), 't': t}), '%Y-%m-%d') || 'T00:00:00.000Z' AS nearest FROM s GROUP BY 1),
+z AS (SELECT layer_id, any_value(units) AS z_units, bool_and(positive) AS z_positive, string_agg(CAST(z AS STRING), ',' ORDER BY z_index) AS z_values FROM z_axis GROUP BY 1),
+m AS (SELECT layer_id, CAST(min(i) AS DOUBLE) AS west, CAST(min(j) AS DOUBLE) AS south, CAST(max(i) AS DOUBLE) AS east, CAST(max(j) AS DOUBLE) AS north, min(value) AS vmin, max(value) AS vmax, CAST(max(i) + max(j) AS INT) AS bands FROM cells GROUP BY 1)
+SELECT layer_id, CASE layer_id WHEN 'A' THEN 'm/s' ELSE 'K' END AS units, west, south, east, north, vmin, vmax, bands, CASE layer_id WHEN 'N' THEN 'vector,boxfill' ELSE 'boxfill' END AS styles, z_units, z_positive, z_values, days, nearest,
+       CASE layer_id WHEN 'R' THEN '360_day' ELSE 'ISO8601' END AS time_units, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT 'pal' || n_regionkey AS p FROM nation)) AS palettes, lower(layer_id) || 'bow' AS palette, layer_id = 'A' AS log
+FROM m JOIN z USING (layer_id) JOIN d USING (layer_id)""")
 def cat7(v):
-    """Some entries of the JSON record, read back."""
-    steps = v.cells.select("layer_id", "t").distinct()
-    layers = steps.select("layer_id").distinct().select("layer_id", F.lit("m/s").alias("units"), *[F.lit(x).alias(k) for k, x in (("west", -180.0), ("south", -90.0), ("east", 180.0), ("north", 90.0), ("vmin", 0.0), ("vmax", 1.0))], F.lit(254).alias("bands"), F.lit(False).alias("vector"), F.lit(None).cast("string").alias("calendar"), F.lit("rainbow").alias("palette"), F.lit(False).alias("log"))
+    """The whole JSON record, read back and taken apart."""
+    steps, k = v.cells.select("layer_id", "t").distinct(), F.col("layer_id")
+    place = {n: f(c).cast("double").alias(n) for n, f, c in (("west", F.min, "i"), ("south", F.min, "j"), ("east", F.max, "i"), ("north", F.max, "j"), ("vmin", F.min, "value"), ("vmax", F.max, "value"))}
+    layers = v.cells.groupBy("layer_id").agg(*place.values(), (F.max("i") + F.max("j")).cast("int").alias("bands"))
+    layers = layers.withColumns({"units": F.when(k == "A", "m/s").otherwise("K"), "vector": k == "N", "calendar": F.when(k == "R", "360_day"), "palette": F.concat(F.lower(k), F.lit("bow")), "log": k == "A"})
     palettes = v.table("nation").select(F.concat(F.lit("pal"), F.col("n_regionkey").cast("string")).alias("palette"))
-    out = catalogue.layer_details(layers, v.z_axis, steps, palettes, "1995-03-01").withColumn("d", F.from_json("details", "units string, zaxis struct<units:string,values:array<double>>, datesWithData map<string,map<string,array<int>>>, nearestTimeIso string, timeAxisUnits string, palettes array<string>"))
-    days = F.aggregate(F.flatten(F.transform(F.map_values("d.datesWithData"), lambda m: F.map_values(m))), F.lit(0).cast("long"), lambda s, x: s + F.size(x))
-    return out.select("layer_id", "d.units", F.col("d.zaxis.units").alias("z_units"), F.size("d.zaxis.values").cast("long").alias("levels"), days.alias("days"), F.col("d.nearestTimeIso").alias("nearest"), F.col("d.timeAxisUnits").alias("time_units"), F.size("d.palettes").cast("long").alias("palettes"))
+    record = "units string, bbox array<double>, scaleRange array<double>, numColorBands int, supportedStyles array<string>, zaxis struct<units:string,positive:boolean,values:array<double>>, datesWithData map<string,map<string,array<int>>>, nearestTimeIso string, timeAxisUnits string, palettes array<string>, defaultPalette string, logScaling boolean"
+    out = catalogue.layer_details(layers, v.z_axis, steps, palettes, "1995-03-01").withColumn("d", F.from_json("details", record))
+    months = lambda y: F.transform(F.map_entries(y["value"]), lambda m: F.transform(m["value"], lambda d: F.struct(y["key"].cast("int").alias("y"), m["key"].cast("int").alias("m"), d.alias("d"))))
+    days = F.sort_array(F.flatten(F.flatten(F.transform(F.map_entries("d.datesWithData"), months))))
+    text = F.array_join(F.transform(days, lambda d: F.concat_ws("/", *[d[c].cast("string") for c in "ymd"])), ",")
+    box = [F.col("d.bbox")[n].alias(c) for n, c in enumerate(("west", "south", "east", "north"))] + [F.col("d.scaleRange")[n].alias(c) for n, c in enumerate(("vmin", "vmax"))]
+    levels = F.array_join(F.transform("d.zaxis.values", lambda z: z.cast("string")), ",")
+    return out.select("layer_id", "d.units", *box, F.col("d.numColorBands").alias("bands"), F.array_join("d.supportedStyles", ",").alias("styles"), F.col("d.zaxis.units").alias("z_units"), F.col("d.zaxis.positive").alias("z_positive"), levels.alias("z_values"), text.alias("days"), F.col("d.nearestTimeIso").alias("nearest"), F.col("d.timeAxisUnits").alias("time_units"), F.array_join("d.palettes", ",").alias("palettes"), F.col("d.defaultPalette").alias("palette"), F.col("d.logScaling").alias("log"))
 
 
 @query("cat8_parse_request_params", ("map_requests",), """

@@ -209,11 +209,11 @@ def tim12b(v):
 
 
 @query("tim13_dates_with_data", ("steps",), """
-SELECT layer_id, count(*) AS days, count(DISTINCT year(t)) AS years, sum(CAST(year(t) AS BIGINT) * 10000 + (month(t) - 1) * 100 + day(t)) AS total FROM steps GROUP BY 1""")
+SELECT DISTINCT layer_id, CAST(year(t) AS INT) AS y, CAST(month(t) - 1 AS INT) AS m, CAST(day(t) AS INT) AS d, CAST(dense_rank() OVER (PARTITION BY layer_id, year(t), month(t) ORDER BY day(t)) - 1 AS INT) AS place FROM steps""")
 def tim13(v):
-    """The nested map taken apart again, as maps can't be compared."""
-    out = timeaxis.dates_with_data(v.steps).select("layer_id", F.explode("dates").alias("y", "months")).select("layer_id", "y", F.explode("months").alias("m", "days")).select("layer_id", "y", "m", F.explode("days").alias("d"))
-    return out.groupBy("layer_id").agg(F.count("*").alias("days"), F.count_distinct("y").alias("years"), F.sum(F.col("y").cast("long") * 10000 + F.col("m") * 100 + F.col("d")).alias("total"))
+    """The whole nested map taken apart, as maps can't be compared; place is a day's place in its month's list."""
+    out = timeaxis.dates_with_data(v.steps).select("layer_id", F.explode("dates").alias("y", "months")).select("layer_id", "y", F.explode("months").alias("m", "days"))
+    return out.select("layer_id", "y", "m", F.posexplode("days").alias("place", "d"))
 
 
 @query("tim14_timesteps_on_day", ("event_steps", "event_targets"), """

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.geo import POLAR_SIZE
+from gridspark.operators.tiles import morton
 
 CELLS = "layer_id string, t timestamp, z_index int, j int, i int, value double"
 
@@ -115,10 +116,14 @@ def write_transect(points: DataFrame, path: str, keys: list[str], format: str =
     (writer.option("rowTag", "transect").option("rootTag", "transects") if format == "xml" else writer).save(path)
 
 
-def write_tiles(tiles: DataFrame, path: str, files_per_tile_row: bool = True) -> None:
-    """Tile pixels in folders by layer and zoom; a tile's pixels are together in a file."""
-    dealt = tiles.repartition("layer_id", "zoom", "tile_row", "tile_col") if files_per_tile_row else tiles
-    dealt.write.mode("overwrite").partitionBy("layer_id", "zoom").parquet(path)
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """Tile pixels in folders by layer and zoom; a tile is in one file, and so are most of its neighbours.
+
+    Tiles are dealt in ranges along a curve through rows and columns, so that a region of tiles is read from few files.
+    """
+    order = ["layer_id", "zoom", "_place"]
+    dealt = tiles.withColumn("_place", morton(F.col("tile_col"), F.col("tile_row"))).repartitionByRange(*order).sortWithinPartitions(*order, "t", "z_index")
+    dealt.drop("_place").write.mode("overwrite").partitionBy("layer_id", "zoom").parquet(path)
 
 
 def write_tile_index(index: DataFrame, path: str) -> None:

@@ -179,3 +179,69 @@ def test_settled_borders_cut_an_axis(spark):
             back += [r.back + x for r, x in zip(piece, b, strict=True)]
         assert (front, back) == plain_claim(lengths)
         assert len(pieces) > 40 or max(lengths) < 6
+
+
+def test_ranks_by_ranges(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.randint(-3, 40) for _ in range(rng.randint(0, 3))] if k % 50 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, c array<int>").repartition(7)
+    distinct = sorted({tuple(c) for _, c in rows if c is not None}, key=lambda c: (len(c), c))
+    ranked = {r.k: r["rank"] for r in coords.order_grid_coordinates(df, "c", per_range=100).collect()}
+    shift = min(ranked[k] for k, c in rows if c is not None) - 1
+    assert {k: ranked[k] - shift for k, c in rows if c is not None} == {k: 1 + distinct.index(tuple(c)) for k, c in rows if c is not None}
+    one = {r.k: r["rank"] for r in coords.order_grid_coordinates(df, "c").collect()}
+    assert one == ranked
+    tree = plan(coords.order_grid_coordinates(df, "c", per_range=100))
+    assert "SinglePartition" not in tree
+
+
+def test_neighbouring_tiles_are_in_few_files(spark, tmp_path):
+    tiles_ = spark.range(64 * 64 * 4).selectExpr("'a' as layer_id", "cast(0 as int) as t", "0 as z_index", "6 as zoom", "cast(id div 4 % 64 as int) as tile_row", "cast(id div 256 as int) as tile_col", "cast(id % 4 as int) as px", "0 as py", "cast(id as double) as value").repartition(5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        io.write_tiles(tiles_, f"{tmp_path}/tiles")
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    read = spark.read.parquet(f"{tmp_path}/tiles").selectExpr("*", "input_file_name() as file").collect()
+    assert len(read) == 64 * 64 * 4 and len({r.file for r in read}) == 32
+    files: dict = {}
+    for r in read:
+        files.setdefault((r.tile_row // 4, r.tile_col // 4), set()).add(r.file)
+    assert max(map(len, files.values())) <= 2 and sum(map(len, files.values())) < 1.2 * len(files)
+
+
+def test_usage_counts_are_folded(spark, tmp_path):
+    """Fifty batches, one of them again: the folders stay few and the counts are those of the whole log."""
+    from gridspark.streaming import usage
+
+    hosts = ["a", "b", "c", None]
+    rng, want = random.Random(6), {}
+    schema = "client_hostname string, wms_operation string, used_cache boolean"
+    for k in range(50):
+        rows = [(rng.choice(hosts), rng.choice(["GetMap", "GetMap", "Other"]), rng.random() < 0.4) for _ in range(6)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for host, what, cached in rows:
+            if what == "GetMap":
+                n, c = want.get(host, (0, 0))
+                want[host] = n + 1, c + cached
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+    usage.start_usage_by(log, "client_hostname", out, f"{tmp_path}/checkpoint", every=8).awaitTermination()
+    folders = usage._Folders(spark, out)
+    assert folders.numbers("upto") == [39, 47] and folders.numbers("batch") == [48, 49]
+
+    def counts():
+        return {r.client_hostname: (r.requests, r.cached) for r in usage.read_usage_by(spark, "client_hostname", out).collect()}
+
+    assert counts() == want
+    again = usage.keep_usage_by("client_hostname", out, every=8)
+    wrong = spark.createDataFrame([("a", 1, 1, 100.0)], "client_hostname string, requests long, cached long, percent double")
+    again(wrong, 47)  # a complete snapshot has it
+    assert counts() == want and folders.numbers("batch") == [48, 49]
+    last = spark.createDataFrame(spark.read.parquet(f"{out}/batch=49").collect(), "client_hostname string, requests long, cached long, percent double")
+    again(last, 49)
+    assert counts() == want
+    assert usage.read_usage_by(spark, "client_hostname", f"{tmp_path}/nothing").count() == 0
