@@ -30,7 +30,7 @@ CHUNK = 1 << 16  # bytes of a byte range of a long document
 LEAVES = 8  # fragments composed together in a round
 PAIRS = 1_000_000  # pairs in a bucket
 SLICE = 500  # documents aligned at once
-BLOCK = 400_000  # pairs, of one document each, that are counted together before they are shuffled
+BLOCK = 200_000  # pairs, of one document each, that are counted together before they are shuffled
 BLOCKS = 4  # whole blocks' worth of pairs that meet a bucket together
 
 
@@ -248,7 +248,7 @@ _ready: dict[tuple[str, str], Memo] = {}
 def _memo(a_path: str, b_path: str) -> Memo:
     if (a_path, b_path) not in _ready:
         v = Vocabularies(a_path, b_path)
-        _ready[a_path, b_path] = Memo(lambda: _Words(v), 120_000, 4_000_000)
+        _ready[a_path, b_path] = Memo(lambda: _Words(v), 100_000, 3_000_000)
     return _ready[a_path, b_path]
 
 
@@ -323,6 +323,7 @@ def _align(a_path: str, b_path: str, chunk: int, keep: bool):
                 block, held = first, []
             yield _rows(rows, [("_id", names.type, names.take(pa.array(ids, pa.int64())))])
             kind = names.type
+        memo.clear()
         if held:
             yield _rows([_pairs(block, *map(np.concatenate, zip(*held, strict=True)))], [("_id", kind, [None])])
 
@@ -363,24 +364,19 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pa.Table.from_pylist([made], _FRAGMENT).to_batches()
 
 
-def _compose(table: pa.Table) -> pa.Table:
-    """Neighbouring fragments of one document as one; a single fragment goes on as it is."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    made = _fragment_of(rows[0])
-    for r in rows[1:]:
-        made = made + _fragment_of(r)
-    first = rows[0]
-    return pa.Table.from_pylist([_fragment_row((first["row"], first["chunk"] // LEAVES, first["n_a"], first["n_b"]), made)], _FRAGMENT)
-
-
-def _close(keep: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                groups, n_groups, n_links, keys, times = whole(_fragment_of(r))
-                doc = _doc(groups, (r["n_a"], r["n_b"], n_groups, n_links), keep)
-                # its pairs are a block of their own, of one document
-                yield _rows([{**doc, "row": r["row"]}, _pairs(r["row"], np.zeros(len(keys), np.int64), keys, times)])
+def _compose(keep: bool, last: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """Neighbouring fragments of one document as one, which the last round closes."""
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        made, first = _fragment_of(rows[0]), rows[0]
+        for r in rows[1:]:
+            made = made + _fragment_of(r)
+        if not last:
+            return pa.Table.from_pylist([_fragment_row((first["row"], first["chunk"] // LEAVES, first["n_a"], first["n_b"]), made)], _FRAGMENT)
+        groups, n_groups, n_links, keys, times = whole(made)
+        doc = _doc(groups, (first["n_a"], first["n_b"], n_groups, n_links), keep)
+        # its pairs are a block of their own, of one document
+        return pa.Table.from_batches([_rows([{**doc, "row": first["row"]}, _pairs(first["row"], np.zeros(len(keys), np.int64), keys, times)])])
 
     return run
 
@@ -390,10 +386,11 @@ def _long_documents(chunks: DataFrame, keep: bool) -> DataFrame:
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = chunks.select("row", "chunk", "n_a", "n_b", "docs", "keys").repartition(parts, "row", "chunk").mapInArrow(_leaves, FRAGMENT)
     most = chunks.agg(F.max("chunk")).first()[0] or 0
-    while most > 0:
-        now = now.groupBy("row", F.floor(F.col("chunk") / LEAVES).alias("_part")).applyInArrow(_compose, FRAGMENT)
+    while True:
         most //= LEAVES
-    return now.mapInArrow(_close(keep), MADE)
+        now = now.groupBy("row", F.floor(F.col("chunk") / LEAVES).alias("_part")).applyInArrow(_compose(keep, most == 0), MADE if most == 0 else FRAGMENT)
+        if most == 0:
+            return now
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,9 +66,12 @@ class Memo:
         self.make, self.most, self.chars = tables, most, chars
         self.tables, self.known, self.held = tables(), {}, 0
 
+    def clear(self) -> None:
+        self.tables, self.known, self.held = self.make(), {}, 0
+
     def slots(self, distinct: pa.StringArray) -> np.ndarray:
         if len(self.known) > self.most or self.held > self.chars:
-            self.tables, self.known, self.held = self.make(), {}, 0
+            self.clear()
         words, known = distinct.to_pylist(), self.known
         new = [w for w in words if w not in known]
         if new:
