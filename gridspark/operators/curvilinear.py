@@ -13,11 +13,10 @@ from gridspark.functions.geo import constrain_longitude_180
 from gridspark.operators import tiles
 
 
-def harmonise(ref: Column, lon: Column) -> Column:
-    """lon, or the same 360 degrees on, whichever is nearer to ref; on a tie the latter."""
-    own = constrain_longitude_180(lon)
-    other = F.when(ref < 0, own - 360).otherwise(own + 360)
-    return F.when(F.abs(ref - own) < F.abs(ref - other), own).otherwise(other)
+def nearer(ref: Column, lon: Column) -> Column:
+    """A longitude in (-180, 180], or the same 360 degrees on, whichever is nearer to ref; on a tie the latter."""
+    other = F.when(ref < 0, lon - 360).otherwise(lon + 360)
+    return F.when(F.abs(ref - lon) < F.abs(ref - other), lon).otherwise(other)
 
 
 def grid_sizes(cells: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def curv_corners(cells: DataFrame) -> DataFrame:
     role = lambda k, c: F.max(F.when(F.col("o.k") == k, F.col(c)))
     grouped = sent.groupBy("grid_id", (F.col("i") + F.col("o.di")).alias("ci"), (F.col("j") + F.col("o.dj")).alias("cj"))
     near = grouped.agg(*[role(k, c).alias(f"{c}{k}") for k in range(4) for c in ("lon", "lat")])
-    lon = (F.col("lon0") + sum((harmonise(F.col("lon0"), F.col(f"lon{k}")) for k in (2, 3)), harmonise(F.col("lon0"), F.col("lon1")))) / 4
+    lon = (F.col("lon0") + sum((nearer(F.col("lon0"), F.col(f"lon{k}")) for k in (2, 3)), nearer(F.col("lon0"), F.col("lon1")))) / 4
     lat = (F.col("lat0") + F.col("lat1") + F.col("lat2") + F.col("lat3")) / 4
     sizes = grid_sizes(cells).filter("ni >= 3 and nj >= 3")
     inner = near.join(sizes, "grid_id").filter("ci between 1 and ni - 1 and cj between 1 and nj - 1").select("grid_id", "ni", "nj", "ci", "cj", lon.alias("lon"), lat.alias("lat"))
@@ -68,11 +67,11 @@ def curv_corners(cells: DataFrame) -> DataFrame:
 
 def curv_cell_polygons(cells: DataFrame) -> DataFrame:
     """cells with corners x0, y0 ... x3, y3, harmonised with the centre, and the box min_x, min_y, max_x, max_y."""
-    corners = curv_corners(cells).select("*", _offsets([(0, 0), (-1, 0), (-1, -1), (0, -1)]))
+    corners = curv_corners(cells).withColumn("lon", constrain_longitude_180(F.col("lon"))).select("*", _offsets([(0, 0), (-1, 0), (-1, -1), (0, -1)]))
     role = lambda k, c: F.max(F.when(F.col("o.k") == k, F.col(c)))
     around = corners.groupBy("grid_id", (F.col("ci") + F.col("o.di")).alias("i"), (F.col("cj") + F.col("o.dj")).alias("j")).agg(*[role(k, c).alias(f"{c}{k}") for k in range(4) for c in ("lon", "lat")])
     own = cells.withColumn("lon", constrain_longitude_180(F.col("lon"))).join(around, ["grid_id", "i", "j"])
-    out = own.select("grid_id", "i", "j", "lon", "lat", *[harmonise(F.col("lon"), F.col(f"lon{k}")).alias(f"x{k}") for k in range(4)], *[F.col(f"lat{k}").alias(f"y{k}") for k in range(4)])
+    out = own.select("grid_id", "i", "j", "lon", "lat", *[nearer(F.col("lon"), F.col(f"lon{k}")).alias(f"x{k}") for k in range(4)], *[F.col(f"lat{k}").alias(f"y{k}") for k in range(4)])
     whole = F.lit(True)
     for k in range(4):
         whole = whole & F.col(f"x{k}").isNotNull() & F.col(f"y{k}").isNotNull()
@@ -132,7 +131,7 @@ def curv_containing(points: DataFrame, index: DataFrame) -> DataFrame:
     own = points.withColumns({"level": F.lit(tiles.FINEST), "at": constrain_longitude_180(F.col("lon"))})
     own = tiles.at_levels(own, index, ("grid_id",))
     own = own.withColumns({"tx": F.pmod(tiles.tile(F.col("at"), F.col("level")), F.pow(F.lit(2.0), "level").cast("long")), "ty": tiles.tile(F.col("lat"), F.col("level"))})
-    x, y = harmonise(F.col("centre"), F.col("lon")), F.col("lat")
+    x, y = nearer(F.col("centre"), F.col("at")), F.col("lat")
     crossings = F.lit(0)
     for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)):
         xa, ya, xb, yb = F.col(f"x{a}"), F.col(f"y{a}"), F.col(f"x{b}"), F.col(f"y{b}")

@@ -129,10 +129,10 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
 def write_tile_index(index: DataFrame, path: str) -> None:
     """A tile index of curvilinear cells as parquet, a folder for each grid and level, neighbouring tiles together.
 
-    A grid is spread over as many files as it needs, each a range of tile rows, so that a lookup in a region reads a few.
+    Sixteen tile rows of a grid are in one file, so that a grid is spread over tasks and a lookup in a region reads a few.
     """
-    order = ["grid_id", "level", "ty", "tx"]
-    index.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("grid_id", "level").parquet(path)
+    dealt = index.repartition("grid_id", "level", F.floor(F.col("ty") / 16))
+    dealt.sortWithinPartitions("grid_id", "level", "ty", "tx").write.mode("overwrite").partitionBy("grid_id", "level").parquet(path)
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
