@@ -31,7 +31,8 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame, text_col: str = "text", least: float = 0.001, most: float = 0.01) -> list[int]:
     """Hashes of the terms that stand in a share of the documents from ``least`` to ``most``.
 
-    That is the band of idf from log(1 / most) to log(1 / least).  Counted over all rows.
+    That is the band of idf from log(1 / most) to log(1 / least).  Counted over all rows.  Below 1 / ``most`` documents (100)
+    no term can stand in so small a share, the lexicon is empty, and every text is hashed by all its terms.
     """
     n = docs.count()
     own = docs.select(F.explode(terms(F.col(f"`{text_col}`"))).alias("t"))

@@ -40,7 +40,7 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens", "cut")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

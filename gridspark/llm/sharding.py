@@ -54,12 +54,13 @@ def _place_batches(fair: np.ndarray, left: np.ndarray, weights: np.ndarray):
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, weights: tuple[float, float, float] = (4.0, 2.0, 0.1), large: int = 512, batch: int = 16_384) -> DataFrame:
-    """(doc_id, size, tokens, text_crc32, shard, slot): one row per row of docs.
+    """(doc_id, size, tokens, text_crc32, cut, shard, slot): one row per row of docs.
 
     size: UTF-8 bytes of the text plus ``overhead``; tokens: runs of anything but ASCII white space; slot counts the
     rows of a shard from 0; ``weights`` of bytes, tokens and rows say which balance counts most.  A group is large from
     a ``large``-th of a shard's fair share in some dimension, so 3 * shards * large groups at most are; a batch is about
-    ``batch`` other groups.
+    ``batch`` other groups.  cut: the row's group of equal texts has more bytes than a shard's fair share, so that no
+    shard could hold it and all the others stay equal; it is dealt in pieces, each of which is in one shard.
 
     A null text has 0 bytes and 0 tokens and groups with empty texts.  Rows that repeat an id are rows of their own, in
     one shard if their texts are equal and the group isn't cut.  Null ids are placed like others.  An empty table gives
@@ -87,11 +88,11 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     sorted_ = small.repartition("batch").sortWithinPartitions("batch", F.desc("weight"), "grp").select("batch", "grp", "s", "t", "r")
     homes = materialize(sorted_.mapInArrow(_place_batches(fair, left / batches, w), "grp bigint, shard int"), "homes")
     marked = base.join(cut, "grp", "left")
-    cols = ["doc_id", "size", "tokens", "text_crc32", "shard"]
+    cols = ["doc_id", "size", "tokens", "text_crc32", (F.coalesce(F.col("pieces"), F.lit(1)) > 1).alias("cut"), "shard"]
     tasks = max(64, -(-int(total[2] or 0) // (shards * 100_000)))
     order, spread = [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.xxhash64("doc_id", "text_crc32")
     turn = number_within(marked.filter("pieces > 1"), ["grp"], order, spread, tasks, "turn").withColumn("piece", F.pmod("turn", F.col("pieces")).cast("int"))
     placed = marked.filter("pieces = 1").withColumn("piece", F.lit(0)).unionByName(turn.drop("turn")).withColumn("shard", F.try_element_at("to", F.col("piece"))).select(cols)
     # the groups of this join are small, so no key is hot
-    placed = placed.unionByName(marked.filter("to is null").select("doc_id", "size", "tokens", "text_crc32", "grp").join(homes, "grp").select(cols))
+    placed = placed.unionByName(marked.filter("to is null").select("doc_id", "size", "tokens", "text_crc32", "grp", "pieces").join(homes, "grp").select(cols))
     return number_within(placed, ["shard"], order, spread, tasks, "slot")

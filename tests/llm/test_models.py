@@ -163,6 +163,23 @@ def test_imatch_against_brute_force(docs, corpus):
             assert near == pytest.approx(1.0 if a == other else sum(x == y for x, y in used) / max(1, len(used)))
 
 
+def test_imatch_by_its_lexicon(spark):
+    """2,000 documents, whose rare words make a lexicon that decides nearly all fingerprints."""
+    rng = random.Random(9)
+    texts = [" ".join([rng.choice("abcdefgh") for _ in range(6)] + [f"Rare{rng.randrange(6000)}" for _ in range(12)] * (k % 40 > 0)) for k in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    known = imatch.lexicon(df)
+    used = {k: len({w.lower() for w in t.split()}) for k, t in enumerate(texts)}
+    assert 3000 < len(known) < 6000
+    model, text = brute_imatch(texts), lambda h: "".join(f"{x % 2**64:016x}" for x in h)
+    rows = {r.doc_id: r for r in imatch.fingerprint_edits(df, ranges=4).collect()}
+    for k in range(0, 2000, 7):
+        assert rows[k].fingerprint == text(model(texts[k]))
+        assert rows[k].edited_fingerprint == text(model(rows[k].edited))
+    common = " ".join("abcdefgh")
+    assert sum(text(model(texts[k] + " " + common)) == rows[k].fingerprint for k in range(0, 2000, 7) if used[k] > 8) > 250
+
+
 def test_imatch_long_text(spark):
     rows = [(1, " ".join(f"w{k % 5000}" for k in range(60_000))), (2, "x " * 100_000)]
     got = {r.doc_id: r for r in imatch.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), ranges=2).collect()}

@@ -37,6 +37,8 @@ def test_a_hot_group_is_cut(spark):
     out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8)
     sums = [r.s for r in out.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sums) == 8 and max(sums) < 1.05 * np.mean(sums)
+    crc = zlib.crc32(b"the same text")
+    assert {(r.text_crc32 == crc, r.cut) for r in out.select("text_crc32", "cut").distinct().collect()} == {(True, True), (False, False)}
 
 
 def test_all_dimensions_are_balanced_and_equal_texts_stay(spark):
