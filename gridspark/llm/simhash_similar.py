@@ -1,10 +1,12 @@
 """Near-duplicates of a stated Jaccard similarity by wide SimHash.
 
-At a similarity of 0.8 two SimHash fingerprints differ in 15 % of their bits, at times in a quarter, and no thresholds
-that add up to so large a distance leave a part selective.  So the fingerprint is made wide instead: many parts, all
-with threshold 0, of which two documents must share one.  The parts' width and number are those with the least estimated
-signatures and candidates among all that find a pair at the similarity itself with the probability ``recall``; pairs
-that are more alike are found nearly always, and pairs that differ in fewer bits than there are parts always.
+Candidates come by the general pigeonhole principle: correlated bits are put into the same part, the collisions of
+every part are counted over all fingerprints, and a dynamic programme gives each part its threshold t (-1: left out),
+so that fingerprints that differ in fewer than the sum of t + 1 bits agree up to t bits on some part.  At a similarity
+of 0.8 two fingerprints differ in 15 % of their bits, at times in a quarter, and no thresholds that add up to so large
+a distance leave a part selective.  So the fingerprint is made wide, with more parts than are needed, and the programme
+asks for the thresholds with the least estimated signatures and candidates among all that find a pair at the similarity
+itself with the probability ``recall``; pairs that are more alike are found nearly always, and those within the sum always.
 Candidates must agree in a 64-bit fingerprint of its own to within FAR bits and in length, those of crowded signatures
 also in the whole fingerprint, and are then verified exactly on their whole sets of shingles.
 
@@ -17,7 +19,7 @@ copies never makes all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log1p, pi, sqrt
+from math import acos, ceil, comb, inf, log, log1p, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,9 @@ from gridspark.llm.components import connected_components
 EPS = 1e-9
 FAR = 18  # of 64 bits; at a similarity of 0.8 the mean is 9.7 and the standard deviation 2.9
 CANDIDATE = 1 / 40  # cost of comparing two fingerprints, in signatures
+SPARE = 1.2  # parts to choose from, times those needed
+STRETCH = 8  # lanes of 64 bits whose bits are correlated with each other
+GRAIN = 2000  # steps in which the programme adds up what parts find
 
 
 def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -61,6 +66,85 @@ def layout(n: int, alike: float, recall: float) -> tuple[int, int]:
     return min((parts * n * (1 + CANDIDATE * n / 2 / 2**w), w, parts) for w in range(6, 40) for parts in [ceil(log(1 - recall) / log1p(-(agree**w)))])[1:]
 
 
+def lanes_for(width: int, parts: int) -> int:
+    """Lanes that hold SPARE times so many parts, none across two stretches."""
+    lanes = 1
+    while sum(64 * len(s) // width for s in _stretches(lanes)) < SPARE * parts:
+        lanes += 1
+    return lanes
+
+
+def _stretches(lanes: int) -> list[range]:
+    return [range(a, min(a + STRETCH, lanes)) for a in range(0, lanes, STRETCH)]
+
+
+def group_bits(both: np.ndarray, n: int, width: int) -> list[list[int]]:
+    """As many parts of a width as fit, each grown from a bit by the bits that correlate most with it.
+
+    both: how many of n fingerprints set both bits.
+    """
+    p = both.diagonal() / max(n, 1)
+    sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+    rho = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd))
+    np.fill_diagonal(rho, 0)
+    left, out = np.ones(len(p), bool), []
+    for _ in range(len(p) // width):
+        near, part = rho[:, left].sum(axis=1), []
+        for _ in range(width):
+            best = int(np.argmax(np.where(left, near, -1.0)))
+            near = near + rho[best] if part else rho[best]
+            part.append(best)
+            left[best] = False
+        out.append(sorted(part))
+    return out
+
+
+def allocate(width: int, same: list[float], agree: list[float], n: int, alike: float, recall: float) -> list[int]:
+    """Every part's threshold (-1: left out): the least estimated signatures and candidates that reach the recall.
+
+    same: pairs of n fingerprints that agree on the whole part; agree: the chance that two bits of the part agree.
+    """
+    bit, unit = bits_agree(alike), -log(1 - recall) / GRAIN
+    best, chosen = np.full(GRAIN + 1, inf), []
+    best[0] = 0.0
+    for pairs, a in zip(same, agree, strict=True):
+        new, of = best.copy(), np.full((GRAIN + 1, 2), -1)
+        of[:, 0] = np.arange(GRAIN + 1)
+        for t in (0, 1):
+            finds = sum(comb(width, k) * bit ** (width - k) * (1 - bit) ** k for k in range(t + 1))
+            gain = int(-log1p(-finds) / unit)
+            probes = comb(width, t)
+            joined = probes * pairs + (n * n / 2 * width * a ** (width - 1) * (1 - a) if t else 0.0)
+            cost = n * probes + CANDIDATE * joined
+            for g in np.flatnonzero(best < inf).tolist():
+                to = min(GRAIN, g + gain)
+                if best[g] + cost < new[to]:
+                    new[to], of[to] = best[g] + cost, (g, t)
+        best = new
+        chosen.append(of)
+    if best[GRAIN] == inf:
+        raise ValueError("too few parts for this recall")
+    at, out = GRAIN, []
+    for of in reversed(chosen):
+        at, t = of[at].tolist()
+        out.append(t)
+    return out[::-1]
+
+
+Probes = list[tuple[int, list[int]]]
+
+
+def probes_of(parts: list[list[int]], thresholds: list[int]) -> Probes:
+    """(number, bits) of every signature: two fingerprints share one exactly if some part agrees within its threshold."""
+    out: Probes = []
+    for i, (part, t) in enumerate(zip(parts, thresholds, strict=True)):
+        if t == 0:
+            out.append((64 * i, part))
+        if t == 1:
+            out += [(64 * i + 1 + k, part[:k] + part[k + 1 :]) for k in range(len(part))]
+    return out
+
+
 def wide_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """64 * lanes bits (0 or 1): a bit is 1 if it is set in over half of the hashes, rehashed for each lane."""
     ones = np.zeros(64 * lanes, np.int64)
@@ -74,41 +158,105 @@ def wide_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return (2 * ones > len(hashes)).astype(np.uint8)
 
 
-_SETS = "doc_id bigint, digest binary, node bigint, n int, sketch bigint, signatures binary, wide array<bigint>, body binary"
+_SETS = "doc_id bigint, digest binary, node bigint, n int, sketch bigint, wide array<bigint>, body binary"
 
 
-def _sets(size: int, width: int, parts: int):
-    """The set of every row as 32-bit hashes, its signatures and its own 64-bit fingerprint (the last lane)."""
-    lanes = -(-width * parts // 64) + 1
-    powers = 1 << np.arange(width, dtype=np.int64)
-    part = np.arange(parts, dtype=np.int64) << 40
+def _sets(size: int, lanes: int):
+    """The set of every row as 32-bit hashes, its wide fingerprint and the 64-bit one, which is a lane more of the wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 hashes = shingles(text, size)
-                bits = wide_fingerprint(hashes, lanes)
-                signatures = part | (bits[: width * parts].reshape(parts, width) @ powers)
-                out.append((xxhash.xxh3_64_intdigest(hashes.tobytes()), len(hashes), int(np.packbits(bits[-64:], bitorder="little").view("<i8")[0]), signatures.tobytes(), np.packbits(bits, bitorder="little").view("<i8").tolist(), np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes()))
-            node, n, sketch, signatures, wide, body = zip(*out, strict=True) if out else ((),) * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sketch, pa.int64()), pa.array(signatures, pa.binary()), pa.array(wide, pa.list_(pa.int64())), pa.array(body, pa.binary())], names=["doc_id", "digest", "node", "n", "sketch", "signatures", "wide", "body"])
+                wide = np.packbits(wide_fingerprint(hashes, lanes + 1), bitorder="little").view("<i8").tolist()
+                out.append((xxhash.xxh3_64_intdigest(hashes.tobytes()), len(hashes), wide[-1], wide, np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes()))
+            node, n, sketch, wide, body = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sketch, pa.int64()), pa.array(wide, pa.list_(pa.int64())), pa.array(body, pa.binary())], names=["doc_id", "digest", "node", "n", "sketch", "wide", "body"])
 
     return run
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each of a node's signatures, which are the first column."""
+def _bits(wide: pa.Array) -> np.ndarray:
+    """A row of bits (0 or 1) for each fingerprint."""
+    own = np.ascontiguousarray(wide.flatten().to_numpy(zero_copy_only=False), "<i8").view(np.uint8)
+    return np.unpackbits(own.reshape(len(wide), len(own) // max(1, len(wide))), axis=1, bitorder="little")
+
+
+def _pair_counts(lanes: int):
+    """(bit, counts): how many fingerprints of a task set this bit and each of its stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [np.zeros((64 * len(s), 64 * len(s)), np.int64) for s in _stretches(lanes)]
+        for batch in batches:
+            bits = _bits(batch.column(0)).astype(np.float32)
+            for s, sums in zip(_stretches(lanes), both, strict=True):
+                x = bits[:, 64 * s.start : 64 * s.stop]
+                sums += (x.T @ x).astype(np.int64)
+        rows = [row.tobytes() for sums in both for row in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["bit", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        lists = [np.frombuffer(s, np.int64) for s in batch.column(0).to_pylist()]
-        of = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)), *(c.take(of) for c in batch.columns[1:])], names=["sig", *batch.schema.names[1:]])
+        for bit, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[bit] = sums.get(bit, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["bit", "counts"])
+
+
+def bit_counts(nodes: DataFrame, lanes: int) -> list[np.ndarray]:
+    """For each stretch, how many nodes set both of two bits; summed on the executors over all nodes with words.
+
+    A task's sums are a row of at most 4 KiB for each bit, so few tasks make them.
+    """
+    kind = "bit int, counts binary"
+    counted = nodes.filter("n > 0").select("wide").coalesce(32).mapInArrow(_pair_counts(lanes), kind)
+    out = [np.zeros((64 * len(s), 64 * len(s)), np.int64) for s in _stretches(lanes)]
+    for bit, counts in counted.repartitionById(16, F.col("bit") % 16).mapInArrow(_summed, kind).collect():
+        out[bit // (64 * STRETCH)][bit % (64 * STRETCH)] = np.frombuffer(counts, np.int64)
+    return out
+
+
+def _explode(probes: Probes):
+    """A row for each signature of the fingerprints in the first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = None
+        for batch in batches:
+            bits = _bits(batch.column(0))
+            if powers is None or len(powers) != bits.shape[1]:
+                powers = np.zeros((bits.shape[1], len(probes)))
+                for k, (_, at) in enumerate(probes):
+                    powers[at, k] = 2.0 ** np.arange(len(at))
+            sig = (bits.astype(float) @ powers).astype(np.int64) | (np.array([p for p, _ in probes], np.int64) << 40)
+            of = pa.array(np.repeat(np.arange(len(bits)), len(probes)), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(sig.ravel()), *(c.take(of) for c in batch.columns[1:])], names=["sig", *batch.schema.names[1:]])
+
+    return run
 
 
-def _by_signature(nodes: DataFrame, more: str) -> DataFrame:
-    """(sig, node, n, sketch, more): nodes with more columns of stated types, a row for each signature."""
-    names = [c.split()[0] for c in more.split(", ")]
-    return nodes.filter("n > 0").select("signatures", "node", "n", "sketch", *names).mapInArrow(_explode, f"sig bigint, node bigint, n int, sketch bigint, {more}")
+def _by_signature(nodes: DataFrame, probes: Probes, *names: str) -> DataFrame:
+    """(sig, names): nodes with these columns, a row for each signature."""
+    own = nodes.filter("n > 0").select(F.col("wide").alias("bits"), *names)
+    return own.mapInArrow(_explode(probes), ", ".join(["sig bigint", *(f"{c} {kind}" for c, kind in own.dtypes[1:])]))
+
+
+def pigeonholes(nodes: DataFrame, width: int, lanes: int, alike: float, recall: float) -> tuple[list[list[int]], list[int], DataFrame]:
+    """(parts, thresholds, counts): parts of correlated bits, their thresholds, and how many nodes share a whole part.
+
+    counts: (sig, c) where c > 1, of all parts, those left out as well.
+    """
+    n = nodes.filter("n > 0").count()
+    both = bit_counts(nodes, lanes)
+    parts = [[64 * STRETCH * k + b for b in part] for k, x in enumerate(both) for part in group_bits(x, n, width)]
+    p = np.concatenate([x.diagonal() for x in both]) / max(n, 1)
+    agree = [float(np.mean(p[part] ** 2 + (1 - p[part]) ** 2)) for part in parts]
+    counts = materialize(_by_signature(nodes, probes_of(parts, [0] * len(parts))).groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"), "collisions")
+    same = {r.part: float(r.pairs) for r in counts.groupBy(F.shiftright("sig", 46).alias("part")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).collect()}
+    return parts, allocate(width, [same.get(i, 0.0) for i in range(len(parts))], agree, n, alike, recall), counts
 
 
 def _verify(alike: float):
@@ -151,18 +299,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meet ``rounds`` times two of its holders and are then compared across components.
     """
     rows = docs.count()
-    width, parts = layout(max(rows, 1), alike, recall)
+    width, needed = layout(max(rows, 1), alike, recall)
+    lanes = lanes_for(width, needed)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_digest(F.col(f"`{text_col}`")).alias("digest"), F.col(f"`{text_col}`").alias("text"))
-    sets = materialize(own.mapInArrow(_sets(shingle, width, parts), _SETS), "sets")
-    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    nodes = materialize(sets.groupBy("node").agg(F.min(named).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("signatures").alias("signatures"), F.first("wide").alias("wide")), "nodes")
-    held = _by_signature(nodes.withColumn("dense", F.lit(False)), "dense boolean").drop("dense")
+    sets = materialize(own.mapInArrow(_sets(shingle, lanes), _SETS), "sets")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    nodes = materialize(sets.groupBy("node").agg(F.min(name).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "nodes")
+    parts, thresholds, counts = pigeonholes(nodes, width, lanes, alike, recall)
+    probes = probes_of(parts, thresholds)
     crowded = crowded or max(64, 3 * rows // 2**width)
-    crowds = materialize(held.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > crowded).select("sig"), "crowds")
-    crowd = materialize(held.join(crowds, "sig"), "crowd")
+    # a part's own signatures are counted already, those with a bit blanked out are not
+    whole, blanked = [64 * i for i, t in enumerate(thresholds) if t == 0], [p for p in probes if p[0] % 64]
+    counts = counts.filter(F.shiftright("sig", 40).isin(whole))
+    if blanked:
+        counts = counts.unionByName(_by_signature(nodes, blanked).groupBy("sig").agg(F.count("*").alias("c")))
+    crowds = materialize(counts.filter(F.col("c") > crowded).select("sig"), "crowds")
+    crowd = materialize(_by_signature(nodes, probes, "node", "n", "sketch").join(crowds, "sig"), "crowd")
     dense = materialize(crowd.select("node").distinct().withColumn("dense", F.lit(True)), "dense")
     marked = nodes.join(dense, "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
-    quiet = materialize(_by_signature(marked, "dense boolean").join(crowds, "sig", "left_anti"), "signatures")
+    quiet = materialize(_by_signature(marked, probes, "node", "n", "sketch", "dense").join(crowds, "sig", "left_anti"), "signatures")
     ends = (F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
     near = _near(F.col("a.n"), F.col("b.n"), F.col("a.sketch"), F.col("b.sketch"), alike)
 
@@ -205,13 +360,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # what is left, under all signatures of crowded ones' holders: a signature's largest component meets the others,
         # which meet among themselves
         left = nodes.join(dense.select("node"), "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
-        open_ = mixed(materialize(_by_signature(left, "part bigint, wide array<bigint>"), "left"))
+        open_ = mixed(materialize(_by_signature(left, probes, "node", "n", "sketch", "part", "wide"), "left"))
         main = open_.groupBy("sig", "part").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
         marked = materialize(open_.join(materialize(main, "main"), "sig"), "marked")
         inside, others = marked.filter("part = main"), marked.filter("part <> main")
-        apart = (F.col("a.part") != F.col("b.part")) & near & _nearer(F.col("a.wide"), F.col("b.wide"), alike, -(-width * parts // 64) + 1)
+        apart = (F.col("a.part") != F.col("b.part")) & near & _nearer(F.col("a.wide"), F.col("b.wide"), alike, lanes + 1)
         met = meet(inside, others, apart).unionByName(meet(others, others, apart & (F.col("a.node") < F.col("b.node"))))
         new = materialize(met.distinct().join(pairs, ["u", "v"], "left_anti"), "tried")
         roots = joined(verified(new), roots)
-    whole = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("first").alias("first"))
-    return whole.select("component", "first.doc_id", "first.digest")
+    named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("first").alias("first"))
+    return named.select("component", "first.doc_id", "first.digest")

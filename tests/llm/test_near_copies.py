@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,55 @@ def test_mixing_takes_rows_not_ids(spark):
     mixed = corpus_pipeline.mix_sources(spark, table, "").groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
     want = {"a": min(3 * words["a"], sum(words.values()) * 5 / 7), "b": sum(words.values()) * 2 / 7}
     assert all(abs(r.n - want[r.source]) <= 7 for r in mixed)
+
+
+def test_candidates_come_from_pigeonholes(spark, monkeypatch):
+    """The stage counts bits and collisions over all fingerprints, and its thresholds follow from them."""
+    rng, seen, own = random.Random(2), [], simhash_similar.allocate
+    rows = [(k, " ".join(f"w{rng.randrange(900)}" for _ in range(60))) for k in range(300)] + [(300, None)]
+    monkeypatch.setattr(simhash_similar, "allocate", lambda *a: seen.append((a, own(*a))) or seen[-1][1])
+    assert run(spark, rows) == brute_kept(rows)
+    (((width, same, agree, n, alike, recall), thresholds),) = seen
+    lanes = simhash_similar.lanes_for(*simhash_similar.layout(len(rows), alike, recall))
+    bits = np.array([simhash_similar.wide_fingerprint(simhash_similar.shingles(t.encode()), lanes) for _, t in rows[:300]], np.int64)
+    both = [bits[:, a : a + 512].T @ bits[:, a : a + 512] for a in range(0, bits.shape[1], 512)]
+    parts = [[512 * k + b for b in part] for k, x in enumerate(both) for part in simhash_similar.group_bits(x, 300, width)]
+    held = [np.unique(bits[:, p], axis=0, return_counts=True)[1] for p in parts]
+    assert n == 300 and same == [float((c * (c - 1)).sum() / 2) for c in held] and len(thresholds) == len(parts)
+    assert -1 in thresholds and np.allclose(agree, [np.mean((bits[:, p].mean(axis=0) ** 2) + (1 - bits[:, p].mean(axis=0)) ** 2) for p in parts])
+
+
+def test_thresholds_reach_the_recall_for_the_least():
+    bit = simhash_similar.bits_agree(0.8)
+    for n, width, same in ((10**6, 13, [1e4 * (1 + i % 5) for i in range(46)]), (10**4, 12, [10.0] * 20), (300, 8, [1e6 if i < 9 else 1.0 for i in range(30)])):
+        got = simhash_similar.allocate(width, same, [0.5] * len(same), n, 0.8, 0.95)
+        finds = {-1: 0.0, 0: bit**width, 1: bit**width + width * bit ** (width - 1) * (1 - bit)}
+        assert math.prod(1 - finds[t] for t in got) <= 0.05
+        used = [s for s, t in zip(same, got, strict=True) if t == 0]
+        assert not used or max(used) <= min((s for s, t in zip(same, got, strict=True) if t < 0), default=math.inf)
+    assert 1 in simhash_similar.allocate(12, [10.0] * 10, [0.5] * 10, 10**4, 0.8, 0.95)  # too few parts without
+    with pytest.raises(ValueError, match="too few parts"):
+        simhash_similar.allocate(13, [1.0] * 2, [0.5] * 2, 100, 0.8, 0.99)
+
+
+def test_pigeonhole_principle():
+    """Fingerprints share a signature exactly if a part agrees within its threshold, so always within the sum of t + 1."""
+    rng = np.random.default_rng(4)
+    parts = np.array_split(rng.permutation(100), 10)
+    thresholds = [0, 1, -1, 0, 1, 0, 0, -1, 1, 0]
+    probes = simhash_similar.probes_of([p.tolist() for p in parts], thresholds)
+    for trial in range(400):
+        a, apart = rng.integers(0, 2, 100), np.zeros(100, int)
+        apart[rng.choice(100, trial % 40, replace=False)] = 1
+        share = any((a[at] == (a ^ apart)[at]).all() for _, at in probes)
+        assert share == any(apart[p].sum() <= t for p, t in zip(parts, thresholds, strict=True))
+        assert share or apart.sum() >= sum(t + 1 for t in thresholds)
+
+
+def test_correlated_bits_share_a_part():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2, (2000, 8))
+    bits = (base.repeat(4, axis=1) ^ (rng.random((2000, 32)) < 0.05)).astype(np.int64)
+    order = rng.permutation(32)
+    found = simhash_similar.group_bits(bits[:, order].T @ bits[:, order], 2000, 4)
+    assert sorted(sorted(order[p].tolist()) for p in found) == [list(range(k, k + 4)) for k in range(0, 32, 4)]
