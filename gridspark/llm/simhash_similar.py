@@ -8,7 +8,8 @@ a distance leave a part selective.  So the fingerprint is made wide, with more p
 asks for the thresholds with the least estimated signatures and candidates among all that find a pair at the similarity
 itself with the probability ``recall``; pairs that are more alike are found nearly always, and those within the sum always.
 Candidates must agree in a 64-bit fingerprint of its own to within FAR bits and in length, those of crowded signatures
-also in the whole fingerprint, and are then verified exactly on their whole sets of shingles.
+also in the whole fingerprint, and are then verified exactly on their whole sets of shingles; those that are left of
+crowded signatures are verified where they meet, so that they make no rows unless they are alike.
 
 Equal sets are one node.  A signature that unusually many nodes share is not joined with itself: its holders meet a few
 of their own first, drawn by hash; what is in one component after that is not compared again, and all other pairs are.
@@ -277,6 +278,18 @@ def _verify(alike: float):
     return run
 
 
+def _hash_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, body) with the hashes of a set as a list."""
+    for batch in batches:
+        lists = [np.frombuffer(b, np.int32) for b in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["node", "body"])
+
+
+def _alike(a: Column, b: Column, alike: float) -> Column:
+    """Whether two lists of distinct hashes have a similarity of at least ``alike``, as _verify has it."""
+    return F.size(F.array_intersect(a, b)) * (1 + alike) >= (F.size(a) + F.size(b)) * alike - EPS
+
+
 def _near(n: Column, m: Column, sketch: Column, other: Column, alike: float) -> Column:
     """Whether two sets of n and m shingles with these sketches may be alike."""
     return (F.bit_count(sketch.bitwiseXOR(other)) <= FAR) & (F.least(n, m) >= F.greatest(n, m) * alike - EPS)
@@ -362,11 +375,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = nodes.join(dense.select("node"), "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
         open_ = mixed(materialize(_by_signature(left, probes, "node", "n", "sketch", "part", "wide"), "left"))
         main = open_.groupBy("sig", "part").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
-        marked = materialize(open_.join(materialize(main, "main"), "sig"), "marked")
+        whole_sets = materialize(bodies.join(dense.select("node"), "node").select("node", "body").mapInArrow(_hash_lists, "node bigint, body array<int>"), "whole")
+        marked = materialize(open_.join(materialize(main, "main"), "sig").join(whole_sets, "node"), "marked")
         inside, others = marked.filter("part = main"), marked.filter("part <> main")
-        apart = (F.col("a.part") != F.col("b.part")) & near & _nearer(F.col("a.wide"), F.col("b.wide"), alike, lanes + 1)
+        apart = (F.col("a.part") != F.col("b.part")) & near & _nearer(F.col("a.wide"), F.col("b.wide"), alike, lanes + 1) & _alike(F.col("a.body"), F.col("b.body"), alike)
         met = meet(inside, others, apart).unionByName(meet(others, others, apart & (F.col("a.node") < F.col("b.node"))))
-        new = materialize(met.distinct().join(pairs, ["u", "v"], "left_anti"), "tried")
-        roots = joined(verified(new), roots)
+        roots = joined(materialize(met.distinct(), "links"), roots)
     named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("first").alias("first"))
     return named.select("component", "first.doc_id", "first.digest")

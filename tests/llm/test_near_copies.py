@@ -149,3 +149,22 @@ def test_correlated_bits_share_a_part():
     order = rng.permutation(32)
     found = simhash_similar.group_bits(bits[:, order].T @ bits[:, order], 2000, 4)
     assert sorted(sorted(order[p].tolist()) for p in found) == [list(range(k, k + 4)) for k in range(0, 32, 4)]
+
+
+def test_crowds_make_rows_only_for_pairs_that_are_alike(spark, monkeypatch):
+    """Texts that share two thirds of their shingles pass the fingerprints' filters under crowded signatures."""
+    rng, rows, sizes, own = random.Random(6), [], {}, simhash_similar.materialize
+    hub = [f"h{i}" for i in range(100)]
+    rows = [(k, " ".join([*hub, *(f"x{rng.randrange(10**9)}" for _ in range(28 + k % 3))])) for k in range(150)] + [(150 + k, " ".join([*hub, f"y{k}"])) for k in range(20)]
+
+    def seen(df, name):
+        out = own(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_similar, "materialize", seen)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((False, r.doc_id) for r in simhash_similar.components(table, crowded=2, rounds=0).collect())
+    assert kept == brute_kept(rows) and len(kept) == 151
+    assert sizes["crowd"][0] > 1000 and max(sizes["links"]) <= 20 * 19 / 2, sizes
+    assert "tried" not in sizes, sizes
