@@ -226,7 +226,7 @@ def _explode(probes: Probes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = None
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             bits = _bits(batch.column(0))
             if powers is None or len(powers) != bits.shape[1]:
                 powers = np.zeros((bits.shape[1], len(probes)))
@@ -327,7 +327,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if blanked:
         counts = counts.unionByName(_by_signature(nodes, blanked).groupBy("sig").agg(F.count("*").alias("c")))
     crowds = materialize(counts.filter(F.col("c") > crowded).select("sig"), "crowds")
-    crowd = materialize(_by_signature(nodes, probes, "node", "n", "sketch").join(crowds, "sig"), "crowd")
+    crowd = materialize(_by_signature(nodes, probes, "node", "n", "sketch").join(crowds, "sig", "left_semi"), "crowd")
     dense = materialize(crowd.select("node").distinct().withColumn("dense", F.lit(True)), "dense")
     marked = nodes.join(dense, "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
     quiet = materialize(_by_signature(marked, probes, "node", "n", "sketch", "dense").join(crowds, "sig", "left_anti"), "signatures")
@@ -362,24 +362,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         before = links if roots is None else links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         return materialize(connected_components(before), "roots")
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """rows (sig, part, ...) of the signatures that more than one component holds."""
-        several = rows.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("sig")
-        several = materialize(several, "several")  # a table of its own, so that the join can split a hot signature
-        return materialize(rows.join(several, "sig"), "mixed")
-
     roots = joined(verified(pairs))
     if is_crowded:
-        # what is left, under all signatures of crowded ones' holders: a signature's largest component meets the others,
-        # which meet among themselves
-        left = nodes.join(dense.select("node"), "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
-        open_ = mixed(materialize(_by_signature(left, probes, "node", "n", "sketch", "part", "wide"), "left"))
-        main = open_.groupBy("sig", "part").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
-        whole_sets = materialize(bodies.join(dense.select("node"), "node").select("node", "body").mapInArrow(_hash_lists, "node bigint, body array<int>"), "whole")
-        marked = materialize(open_.join(materialize(main, "main"), "sig").join(whole_sets, "node"), "marked")
-        inside, others = marked.filter("part = main"), marked.filter("part <> main")
-        apart = (F.col("a.part") != F.col("b.part")) & near & _nearer(F.col("a.wide"), F.col("b.wide"), alike, lanes + 1) & _alike(F.col("a.body"), F.col("b.body"), alike)
-        met = meet(inside, others, apart).unionByName(meet(others, others, apart & (F.col("a.node") < F.col("b.node"))))
+        # what is left, under all signatures of crowded ones' holders: only those outside a signature's largest component
+        # are marked, and meet all its holders of other components
+        whole_sets = bodies.join(dense.select("node"), "node").select("node", "body").mapInArrow(_hash_lists, "node bigint, body array<int>")
+        left = nodes.join(whole_sets, "node").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+        left = materialize(_by_signature(left, probes, "node", "n", "sketch", "part", "wide", "body"), "left")
+        held = left.groupBy("sig", "part").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.count("*").alias("parts"))
+        main = materialize(held.filter("parts > 1").select("sig", "main"), "main")  # a table of its own, so that the join can split a hot signature
+        others = materialize(left.join(main, "sig").filter("part <> main"), "others")
+        once = (F.col("a.part") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+        apart = (F.col("a.part") != F.col("b.part")) & once & near & _nearer(F.col("a.wide"), F.col("b.wide"), alike, lanes + 1) & _alike(F.col("a.body"), F.col("b.body"), alike)
+        met = meet(left, others, apart)
         roots = joined(materialize(met.distinct(), "links"), roots)
     named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("first").alias("first"))
     return named.select("component", "first.doc_id", "first.digest")

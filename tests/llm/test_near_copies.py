@@ -168,3 +168,21 @@ def test_crowds_make_rows_only_for_pairs_that_are_alike(spark, monkeypatch):
     assert kept == brute_kept(rows) and len(kept) == 151
     assert sizes["crowd"][0] > 1000 and max(sizes["links"]) <= 20 * 19 / 2, sizes
     assert "tried" not in sizes, sizes
+
+
+def test_only_what_is_outside_the_largest_component_is_marked(spark, monkeypatch):
+    """A large group of near copies goes once through the tables of signatures that are left, not once for each join."""
+    sizes, own = [], simhash_similar.materialize
+    hub, other = [f"h{i}" for i in range(120)], [f"h{i}" for i in range(104)] + [f"o{i}" for i in range(16)]
+    rows = [(k, " ".join([*(other if k % 20 == 0 else hub), f"y{k}"])) for k in range(200)]
+
+    def seen(df, name):
+        out = own(df, name)
+        if {"sig", "part"} <= set(out.columns):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_similar, "materialize", seen)
+    kept = sorted((False, r.doc_id) for r in simhash_similar.components(spark.createDataFrame(rows, "doc_id long, text string"), crowded=2).collect())
+    assert kept == brute_kept(rows) and len(kept) == 2
+    assert sizes[0] >= 1000 and sum(sizes[1:]) <= sizes[0] / 8, sizes
