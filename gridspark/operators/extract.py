@@ -142,15 +142,15 @@ def vertical_profile(cells: DataFrame, z_axis: DataFrame, axes: DataFrame, reque
 def points_on_path(control: DataFrame, n: Column | int) -> DataFrame:
     """(line_id, n, k, x, y): n points at equal distances along lines of control points; ends are the control points.
 
-    control: (line_id, seq, x, y, distance).  A point belongs to the segment that begins at or before it.
+    control: (line_id, seq, x, y, distance, and columns that n is made of).  A point belongs to the segment that begins at or before it.
     """
     along = Window.partitionBy("line_id").orderBy("seq")
     nxt = {c: F.lead(c).over(along) for c in ("x", "y", "distance", "seq")}
     whole = F.max("distance").over(Window.partitionBy("line_id"))
-    segments = control.select("line_id", "seq", "x", "y", "distance", *[c.alias("next_" + k) for k, c in nxt.items()], whole.alias("whole"))
+    segments = control.select("line_id", "seq", "x", "y", "distance", *[c.alias("next_" + k) for k, c in nxt.items()], whole.alias("whole"), (n if isinstance(n, Column) else F.lit(n)).alias("n"))
     segments = segments.filter(F.col("next_seq").isNotNull())
     last = F.col("next_seq") == F.max("next_seq").over(Window.partitionBy("line_id"))
-    segments = segments.withColumn("last", last).withColumn("n", n if isinstance(n, Column) else F.lit(n))
+    segments = segments.withColumn("last", last)
     segments = segments.withColumn("n", F.explode("n")) if dict(segments.dtypes)["n"].startswith("array") else segments
     # the points of a segment follow from its distances: only they are made
     step = F.col("whole") / (F.col("n") - 1)
@@ -174,14 +174,19 @@ def distinct_cells_sampled(mapped: DataFrame, keys: tuple[str, ...], approximate
 def optimal_transect(control: DataFrame, axes: DataFrame, grid_id: str, step: int = 500, most: int = 5000, growth: float = 1.1) -> DataFrame:
     """(line_id, n, k, x, y): points of the last resolution before the distinct cells grow by a tenth or less.
 
-    Resolutions step, 2 * step, ... up to most are counted in one pass; a line that still grows at most keeps most.
+    Resolutions step, 2 * step, ... up to most are counted in one pass; a line that still grows at most keeps most.  Points are
+    made again for the chosen resolution alone.
     """
+    # points are many times the bytes that Spark takes them for: lines are dealt to a fixed number of tasks, unlike a shuffle's
+    # own, so that Spark neither drops this step nor puts few bytes together in one task; both sides stay there, not broadcast
+    control = control.repartition(2 * int(control.sparkSession.conf.get("spark.sql.shuffle.partitions")), "line_id")
     tried = points_on_path(control, F.array(*[F.lit(n) for n in range(step, most + 1, step)]))
     counts = distinct_cells_sampled(point_map(axes, tried.withColumn("grid_id", F.lit(grid_id))), ("line_id", "n"))
     before = F.lag("cells").over(Window.partitionBy("line_id").orderBy("n"))
-    flat = counts.withColumn("before", before).filter(F.col("cells") <= F.col("before") * growth)
-    chosen = counts.select("line_id").distinct().join(flat.groupBy("line_id").agg(F.min("n").alias("first")), "line_id", "left").select("line_id", F.coalesce(F.col("first") - step, F.lit(most)).alias("n"))
-    return tried.join(chosen, ["line_id", "n"])
+    flat = F.when(F.col("cells") <= F.col("before") * growth, F.col("n"))
+    chosen = counts.withColumn("before", before).groupBy("line_id").agg(F.coalesce(F.min(flat) - step, F.lit(most)).alias("n"))
+    kept = control.join(chosen.hint("merge"), "line_id")
+    return points_on_path(kept, F.col("n"))
 
 
 def transect(cells: DataFrame, axes: DataFrame, points: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
